@@ -1,0 +1,11 @@
+"""Operators of a large-scale training-data pipeline.
+
+Nothing else in the library imports this subpackage.  Functions that run on executors are
+pickled by value, so that a cluster needs no copy of the package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
