@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .exact import exact_dedup
+from .mixing import mix
+from .quality import fit_quality, quality_scores
+from .spm import encode_documents
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; learnt from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    forest = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs.select("doc_id", "text"), forest)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and whether decoding gives the text again."""
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact": op4_exact}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op4_exact": op4_exact, "op5_mixing": op5_mixing}
 
 ORACLE_SQL = {
     "op4_exact": r"""
