@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,46 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def id_bitmap(ids: DataFrame, bits: int = 26) -> bytes:
+    """A bitmap of 2 ** bits bits (8 MB by default, whatever the input) with the bit of every id's hash set.
+
+    It tells which rows may be among the ids: a full bitmap lets more rows through, it never holds one back."""
+    import zlib
+
+    column = ids.columns[0]
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    owner_bits = max(0, min(bits - 6, 10, (n_shuffle(ids.sparkSession) - 1).bit_length()))
+    width = 1 << (bits - owner_bits)
+
+    def own(pdf):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        marks = np.zeros(width, np.uint8)
+        marks[pdf.slot.to_numpy() % width] = 1
+        return pd.DataFrame({"owner": [int(pdf.owner.iloc[0])], "bitmap": [zlib.compress(np.packbits(marks).tobytes(), 1)]})
+
+    slots = ids.select(slot.alias("slot")).distinct().withColumn("owner", F.shiftright("slot", bits - owner_bits).cast("int"))
+    whole = bytearray((1 << bits) // 8)
+    for row in slots.groupBy("owner").applyInPandas(own, "owner int, bitmap binary").toLocalIterator():
+        whole[row.owner * width // 8 : (row.owner + 1) * width // 8] = zlib.decompress(row.bitmap)
+    return bytes(whole)
+
+
+def sift_by_bitmap(df: DataFrame, column: str, bitmap: bytes) -> DataFrame:
+    """The rows whose id may be in the bitmap.  Only the hash leaves the JVM; texts stay where they are."""
+    bits, sent = (len(bitmap) * 8).bit_length() - 1, df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(slot: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        at = slot.to_numpy()
+        return pd.Series((np.frombuffer(sent.value, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return df.filter(marked(F.shiftrightunsigned(F.xxhash64(column), 64 - bits)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .exact import exact_dedup
 from .mixing import mix
+from .neardup import near_dedup
 from .quality import fit_quality, quality_scores
 from .spm import encode_documents
 
@@ -25,6 +26,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=4)
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op4_exact": op4_exact, "op5_mixing": op5_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_minhash": op3_minhash, "op4_exact": op4_exact, "op5_mixing": op5_mixing}
 
 ORACLE_SQL = {
     "op4_exact": r"""

@@ -1,8 +1,66 @@
-"""A corpus pipeline out of the operators of convoscore.llm."""
+"""A corpus pipeline out of five operators of convoscore.llm.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of ``documents``; the
+last returns their piece ids.  ``run`` writes every stage's result to the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from convoscore.llm.common import cut, table
+from convoscore.llm.exact import exact_dedup
+from convoscore.llm.mixing import mix
+from convoscore.llm.neardup import near_dedup
+from convoscore.llm.quality import fit_quality, quality_scores
+from convoscore.llm.spm import encode_documents
+
+#: Documents with a lower score are rejected.
+LEAST_SCORE = 0.3
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` without those that an operator did not keep; Spark sends the ids around only if they are few."""
+    return docs.join(decided.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from ``labels`` and drops the documents that the classifier rejects."""
+    forest = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality_scores(docs, forest, score_col="__score", least=LEAST_SCORE).drop("__score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _without(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, similarity 0.8)."""
+    return _without(docs, near_dedup(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of the whole texts."""
+    return encode_documents(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("encode", encode)]
+
+#: Fitted trees, Newton's iterations and the tokenizer can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
