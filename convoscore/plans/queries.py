@@ -611,3 +611,106 @@ _said = [f"({' OR '.join(f'contains(low, {q(k)})' for k in d['keywords'])})::INT
 @query(f"WITH {CALLS}, a AS (SELECT call_id, {_said[0]} + {_said[1]} + {_said[2]} AS m, {_said[3]} AS o FROM calls) SELECT call_id, 3::BIGINT AS mandatory_count, m::BIGINT AS matched_mandatory, 1::BIGINT AS optional_count, o::BIGINT AS optional_present, round(m / 3, 3) AS adherence_score, CASE WHEN m = 3 THEN 'completed' ELSE 'findings' END AS status FROM a")
 def adherence_score(spark, sf_dir):
     return C.adherence(calls_of(spark, sf_dir), PROFILE.contract)
+
+
+# --- providers, state, extensions --------------------------------------------------------------------------------
+
+
+@query()
+def near_windows(spark, sf_dir):
+    """Overlapping text windows of documents (held against a plain model in the tests)."""
+    from ..operators.providers import text_windows
+
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_windows(F.col("text"))).alias("ix", "w")).select("doc_id", "ix", F.col("w.start").alias("start"), F.length("w.part").alias("size"))
+
+
+_ANSWER = "CASE doc_id % 4 WHEN 0 THEN '{\"k\":' || doc_id || '}' WHEN 1 THEN 'Sure: ```json' || chr(10) || '{\"k\":' || doc_id || '}' || chr(10) || '```' WHEN 2 THEN 'It is {\"k\":' || doc_id || '} I think' ELSE 'no answer' END"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE '{\"k\":' || doc_id || '}' END AS verdict FROM documents")
+def json_repair(spark, sf_dir):
+    answer = F.expr(_ANSWER.replace("chr(10)", "char(10)"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.parse_json_object(answer).alias("verdict"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag, CASE WHEN doc_id % 7 BETWEEN 0 AND 4 THEN (doc_id % 7) / CAST(4 AS DOUBLE) END AS score FROM documents")
+def strict_coercions(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents")
+    raw = F.expr("CASE doc_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'False' WHEN 2 THEN ' TRUE ' WHEN 3 THEN 'yes' END")
+    number = F.when(F.col("doc_id") % 7 == 6, "high").otherwise(((F.col("doc_id") % 7) / 4.0).cast("string"))
+    return docs.select("doc_id", T.strict_boolean(raw).alias("flag"), T.unit_score(number).alias("score"))
+
+
+_RUNS = "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id % 5 = 0 END AS held, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'masked/' || doc_id END AS compliant_path FROM documents"
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT doc_id, compliant_path FROM r WHERE held = false AND compliant_path <> ''")
+def retire_candidates(spark, sf_dir):
+    from ..sources.landing import retire_candidates as candidates
+
+    A.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return candidates(spark.sql(_RUNS)).select("doc_id", "compliant_path")
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT CASE WHEN held = false AND compliant_path <> '' THEN 'retired' ELSE 'kept' END AS outcome, count(*) AS runs FROM r GROUP BY 1")
+def retire_counts(spark, sf_dir):
+    from ..sources.landing import retire_counts as counts
+
+    A.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return counts(spark.sql(_RUNS))
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0) GROUP BY text")
+def seed_plan(spark, sf_dir):
+    """Contents that are not there yet: every third document is taken as seeded."""
+    from ..sources.landing import seed_plan as plan
+
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.format_string("%019d", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    seeded = docs.filter("doc_id % 3 = 0").select(F.sha2("content", 256).alias("sha256")).distinct()
+    return plan(docs, seeded).select("sha256", F.col("path").cast("long").alias("first_id"))
+
+
+@query(f"WITH {CHECKLIST}, f AS (SELECT *, min(CASE WHEN tier = 'hard' AND status = 'not_met' THEN seq END) OVER (PARTITION BY call_id) AS first FROM cl) SELECT id, count(*) FILTER (status = 'met') AS met, count(*) FILTER (status = 'not_met') AS missed, count(*) FILTER (seq = first) AS broke_here FROM f GROUP BY id")
+def agent_breakpoints(spark, sf_dir):
+    from ..operators.analytics import breakpoints
+
+    return breakpoints(checklist_of(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CHECKLIST}, f AS (SELECT *, coalesce(max(CASE WHEN id = 'deal' THEN status = 'met' END) OVER (PARTITION BY call_id), false) AS deal FROM cl)
+    SELECT id, round(avg((status = 'met')::INT) FILTER (deal), 4) AS met_in_deals, round(avg((status = 'met')::INT) FILTER (NOT deal), 4) AS met_elsewhere FROM f WHERE status <> 'na' GROUP BY id"""
+)
+def success_template(spark, sf_dir):
+    from ..operators.analytics import success_template as template
+
+    return template(checklist_of(spark, sf_dir))
+
+
+@query(f"WITH {CHECKLIST} SELECT tier, status, count(*) AS rows, count(DISTINCT call_id) AS calls FROM cl GROUP BY CUBE (tier, status)")
+def call_cube(spark, sf_dir):
+    from ..operators.analytics import status_cube
+
+    return status_cube(checklist_of(spark, sf_dir))
+
+
+def _events(spark, sf_dir):
+    return A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from ..streaming.live import windowed_counts
+
+    return windowed_counts(_events(spark, sf_dir)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(
+    """WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
+)
+def event_sessions(spark, sf_dir):
+    from ..streaming.live import sessions
+
+    return sessions(_events(spark, sf_dir)).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", F.round("total", 4).alias("total"))
