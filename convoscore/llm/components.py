@@ -18,29 +18,33 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "least")
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every component is a star around its smallest node: each u has one v, and no v is a u."""
+    twice = state.groupBy("u").count().filter("count > 1").select("u")
+    inner = state.join(state.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return twice.union(inner).isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, label long): every node of an edge with the smallest node that it is linked with, itself included.
 
     Loops, repeated edges and nulls are ignored; without edges the result is empty.
     """
-    state = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u > v").distinct()
-    state, before = cut(state), None
-    while True:
+    state = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u > v").distinct())
+    while not _settled(state):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u > v").distinct()
         small = _stars(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.*")
         state = cut(small.filter("u > v").distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
     roots = state.select("v").distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
 
 
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further links: components of the links between labels, carried over to the nodes."""
+    if links.isEmpty():
+        return labels
     here = labels.select(F.col("node"), F.col("label"))
     ends = links.select("a", "b").join(here.toDF("a", "la"), "a", "left").join(here.toDF("b", "lb"), "b", "left")
     ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))

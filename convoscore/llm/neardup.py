@@ -5,10 +5,10 @@ value of the second permutation, circularly shifted by k, over a document's posi
 contiguous window of the second permutation, and a signature is the minimum over windows.  Signatures of 160 coordinates
 make 32 bands of 5: a pair with similarity 0.8 shares no band with probability 3e-6.
 
-Documents with one and the same shingle set form a class, represented by its smallest id.  Within a band's bucket the
-classes are compared with the bucket's smallest (a star, never all pairs); components of confirmed links follow, and what
-is left are pairs within a bucket that lie in different components: those go through block by block, against signatures,
-and only pairs of similar signatures leave the blocks.  Every link is confirmed on full sets.
+Documents with one and the same shingle set form a class, represented by its smallest id.  Classes are first compared
+with the smallest of their buckets (stars, never all pairs), in a few bands and then, where a bucket still holds several
+components, in all of them.  Components that then still share a bucket and have similar signatures form crowds; within a
+crowd, whatever lies in different components is compared in blocks.  Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ from .components import components, merge_labels
 
 COORDINATES, BAND = 160, 5
 RING = 1 << 20
+#: Bands whose buckets are looked at before all others: they join most of what belongs together.
+FIRST_BANDS = 4
 #: Members of a bucket side that meet in one block of the last comparison.
 BLOCK = 512
+#: Buckets of so many rows are compared as they are.
+SMALL = 64
 
 
 def word_list(raw: bytes) -> list[bytes]:
@@ -128,26 +132,73 @@ def _linked(percent: int):
     return linked
 
 
+def _pairs_alike(pdf, i: int, percent: int, limit: int, sig, among):
+    """Rows of ``among`` in other components than row i, of a size and with a signature that fit row i's."""
+    import numpy as np
+
+    label, n = pdf.label.to_numpy(), pdf.n_shingles.to_numpy()
+    at = np.flatnonzero(among & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+    return at[(sig[at] == sig[i]).sum(1) >= limit]
+
+
+def _small(percent: int, limit: int):
+    """Components with similar signatures in a bucket of at most SMALL rows, as pairs of labels."""
+
+    def small(pdf):
+        import numpy as np
+        import pandas as pd
+
+        sig, label = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(-1, COORDINATES), pdf.label.to_numpy()
+        before = np.arange(len(pdf))
+        out = {(min(label[i], label[j]), max(label[i], label[j])) for i in range(len(pdf)) for j in _pairs_alike(pdf, i, percent, limit, sig, before < i)}
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return small
+
+
 def _cells(percent: int, limit: int):
-    """One cell of a bucket: rows of side 0 against rows of side 1, and side 1 among itself if the cell says so."""
+    """One cell of a crowd: rows of side 1 against those of side 0 and among themselves, confirmed on full sets.  Links
+    between components that the cell has joined already are passed over."""
 
     def cells(pdf):
         import numpy as np
         import pandas as pd
 
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(-1, COORDINATES)
-        ids, label, n, side = pdf.rep.to_numpy(), pdf.label.to_numpy(), pdf.n_shingles.to_numpy(), pdf.side.to_numpy()
+        sig, sets = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(-1, COORDINATES), [np.frombuffer(x, np.uint64) for x in pdf.set]
+        ids, label, side = pdf.rep.to_numpy(), pdf.label.to_numpy(), pdf.side.to_numpy()
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         out = []
         for i in np.flatnonzero(side == 1):
-            other = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((side == 0) | (ids < ids[i]))
-            at = np.flatnonzero(other)
-            same = (sig[at] == sig[i]).sum(1)
-            out += [(min(ids[j], ids[i]), max(ids[j], ids[i])) for j in at[same >= limit]]
+            for j in _pairs_alike(pdf, i, percent, limit, sig, (side == 0) | (ids < ids[i])):
+                x, y = find(label[i]), find(label[j])
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[x] = y
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return cells
 
 
+def _cells_of(side: F.Column) -> F.Column:
+    """The cells of a row: (block of side 0, block of side 1), and (-1 - block, other block) for two blocks of side 1."""
+    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") for n in ("n0", "n1"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(side == 0, g0).otherwise(g1)).cast("int")
+    as_main = F.transform(F.sequence(F.lit(0), g1 - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(0).alias("s")))
+    as_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), g0 - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(1).alias("s"))),
+        F.transform(F.filter(F.sequence(F.lit(0), g1 - 1), lambda j: j != mine), lambda j: F.struct((-1 - F.least(mine, j)).alias("i"), F.greatest(mine, j).alias("j"), F.lit(1).alias("s"))),
+    )
+    return F.when(side == 0, as_main).otherwise(as_rest)
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept.
 
@@ -165,18 +216,16 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     classes = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(first.alias("r"))
     classes = cut(classes.select("cls", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.bands", "r.sig"))
 
-    # Stars: every class with the smallest of each of its buckets.
-    buckets = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    buckets = cut(buckets.join(hubs, "key").select("key", "rep", "hub"))
-    pairs = buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     sigs = classes.select("rep", "sig", "n_shingles")
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = pairs.join(sigs.toDF("b", "sb", "nb"), "b").join(sigs.toDF("a", "sa", "na"), "a").filter(fit).select("a", "b", "sa", "sb")
-    pairs = cut(pairs.mapInArrow(_alike(limit), "a long, b long, same int"))
 
-    def confirm(some: DataFrame) -> DataFrame:
-        """The pairs that are links: sets are made of the texts of the ids in question only."""
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures are similar enough."""
+        pairs = pairs.distinct().join(sigs.toDF("b", "sb", "nb"), "b").join(sigs.toDF("a", "sa", "na"), "a").filter(fit).select("a", "b", "sa", "sb")
+        return cut(pairs.mapInArrow(_alike(limit), "a long, b long, same int"))
+
+    def sets_for(some: DataFrame) -> DataFrame:
+        """The full sets of the ids in question only, made of their texts again."""
         ids = some.select(F.explode(F.array("a", "b")).alias("id"))
         sets = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids))
 
@@ -186,7 +235,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(word_list(raw), width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], ["id", "set"])
 
-        sets = cut(sets.mapInArrow(sets_of, "id long, set binary").join(ids.distinct(), "id", "left_semi"))
+        return cut(sets.mapInArrow(sets_of, "id long, set binary").join(ids.distinct(), "id", "left_semi"))
+
+    def confirm(some: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that are links, by their full sets."""
         joined = some.select("a", "b").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
         return cut(joined.mapInArrow(_linked(percent), "a long, b long"))
 
@@ -196,28 +248,52 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         ends = some.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left")
         return cut(ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
 
-    # First each class with the likeliest of its stars' centres, then the centres that this leaves apart.
+    def buckets_of(bands: F.Column, labels: DataFrame | None = None) -> DataFrame:
+        if labels is None:
+            return classes.select("rep", F.explode(bands).alias("key"))
+        named = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", "bands", F.coalesce("l", "rep").alias("label"))
+        return named.select("rep", "label", F.explode(bands).alias("key"))
+
+    def split_of(buckets: DataFrame) -> DataFrame:
+        """Buckets with several components: the largest one, its smallest class, and how many classes it and the others have."""
+        sizes = buckets.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("size", (-F.col("first")).alias("minus"), "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).filter("labels > 1")
+        return split.select(F.col("key").alias("s_key"), F.col("top.label").alias("main"), (-F.col("top.minus")).alias("hub"), F.col("top.size").alias("n0"), (F.col("all") - F.col("top.size")).alias("n1"))
+
+    # Stars in the first bands: each class with the likeliest of its centres, then the centres that this leaves apart.
+    few = buckets_of(F.slice("bands", 1, FIRST_BANDS))
+    hubs = few.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select(F.col("key").alias("h_key"), "hub")
+    pairs = alike(few.join(hubs, (F.col("key") == F.col("h_key")) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("p")).select((-F.col("p.m")).alias("a"), "b")
-    labels = cut(components(confirm(best)))
-    labels = merge_labels(labels, confirm(apart(pairs, labels)))
-
-    # What is left: buckets that hold several components.  Their largest component is side 0, all others are side 1.
-    members = buckets.join(labels.toDF("rep", "l"), "rep", "left").select("key", "rep", F.coalesce("l", "rep").alias("label"))
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).filter("labels > 1")
-    split = split.select("key", F.col("top.label").alias("main"), F.col("top.size").alias("n0"), (F.col("all") - F.col("top.size")).alias("n1"))
-    rows = members.join(split, "key").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
-    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") for n in ("n0", "n1"))
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, g0).otherwise(g1)).cast("int")
-    # Cells: (block of side 0, block of side 1), and (-1 - block, other block) for two blocks of side 1.
-    as_main = F.transform(F.sequence(F.lit(0), g1 - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(0).alias("s")))
-    as_rest = F.concat(
-        F.transform(F.sequence(F.lit(0), g0 - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(1).alias("s"))),
-        F.transform(F.filter(F.sequence(F.lit(0), g1 - 1), lambda j: (g1 > 1) | (F.col("n1") > 1)), lambda j: F.struct((-1 - F.least(mine, j)).alias("i"), F.greatest(mine, j).alias("j"), F.lit(1).alias("s"))),
-    )
-    rows = rows.select("key", "rep", "label", F.explode(F.when(F.col("side") == 0, as_main).otherwise(as_rest)).alias("c")).select("key", "rep", "label", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.s").alias("side"))
-    cells = rows.join(sigs, "rep").groupBy("key", "i", "j").applyInPandas(_cells(percent, limit), "a long, b long")
-    labels = merge_labels(labels, confirm(apart(cells.distinct(), labels)))
+    likely = sets_for(pairs)
+    labels = cut(components(confirm(best, likely)))
+    labels = merge_labels(labels, confirm(apart(pairs, labels), likely))
+
+    # Stars in all bands, in buckets that hold several components: the others' classes with the largest one's first.
+    every = buckets_of(F.col("bands"), labels)
+    centre = split_of(every)
+    pairs = alike(every.join(centre, (F.col("key") == F.col("s_key")) & (F.col("label") != F.col("main"))).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
+    if not pairs.isEmpty():
+        labels = merge_labels(labels, confirm(pairs, sets_for(pairs)))
+
+    # What is left: components that still share buckets.  In small buckets signatures tell which are similar; around a
+    # large one, all that share it are taken together.  That gives crowds of components; in each, whatever lies in
+    # different components is compared block by block, the largest component (side 0) not with itself.
+    members = buckets_of(F.col("bands"), labels)
+    split = cut(split_of(members))
+    size = F.col("n0") + F.col("n1")
+    small = members.join(split.filter(size <= SMALL), F.col("key") == F.col("s_key")).select("key", "rep", "label").join(sigs, "rep")
+    large = members.join(split.filter(size > SMALL), (F.col("key") == F.col("s_key")) & (F.col("label") != F.col("main"))).select(F.col("main").alias("a"), F.col("label").alias("b"))
+    near = cut(small.groupBy("key").applyInPandas(_small(percent, limit), "a long, b long").unionByName(large).distinct())
+    if not near.isEmpty():
+        crowds = components(near).toDF("c_label", "crowd")
+        crowd = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", F.coalesce("l", "rep").alias("label"))
+        crowd = cut(crowd.join(crowds, F.col("label") == F.col("c_label")).select(F.col("crowd").alias("key"), "rep", "label"))
+        rows = crowd.join(split_of(crowd), F.col("key") == F.col("s_key")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+        rows = rows.select("key", "rep", "label", F.explode(_cells_of(F.col("side"))).alias("c")).select("key", "rep", "label", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.s").alias("side"))
+        sets = sets_for(crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).toDF("rep", "set")
+        links = rows.join(sigs, "rep").join(sets, "rep").groupBy("key", "i", "j").applyInPandas(_cells(percent, limit), "a long, b long")
+        labels = merge_labels(labels, cut(links))
 
     named = classes.select("cls", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component"))
     out = slim.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
