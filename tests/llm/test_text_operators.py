@@ -1,0 +1,298 @@
+import json
+import random
+import re
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from convoscore.llm import queries
+from convoscore.llm.html import common_lines, extract, main_text, parse, url_key
+from convoscore.llm.licenses import TEMPLATES, Scanner, blocks_of, scan
+from convoscore.llm.lines import line_dedup
+from convoscore.llm.mixing import mix, targets
+from convoscore.llm.pii import feistel, pseudonymise
+from convoscore.llm.quality import STATISTICS, fit_forest, fit_quality, quality_scores, statistics
+from convoscore.llm.spm import MARK, PUBLIC_MODEL, Codec, decode_documents, encode_documents, model_bytes
+
+from .fixtures import DOCS, documents, empty, frame, prose
+
+SF = "/root/testdata/sf0.001"
+
+
+# --- quality -----------------------------------------------------------------------------------------------------
+
+
+def test_statistics_stand_anything():
+    x = statistics([b"", b" ", b"\n\n", "é漢".encode(), b"a" * 100_000, prose(5000, 1).encode()])
+    assert x.shape == (6, len(STATISTICS)) and np.isfinite(x).all() and not x[0].any()
+
+
+def test_forest_learns_and_walks_like_a_plain_tree():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((2000, 5))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] < -0.2)).astype(float)
+    f = fit_forest(x[:1500], y[:1500])
+    assert ((f.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+    def walk(row):
+        total = f.base
+        for t in range(len(f.feature)):
+            k = 0
+            for _ in range(f.depth):
+                k = 2 * k + 1 + int(row[f.feature[t, k]] > f.threshold[t, k])
+            total += f.leaf[t, k - (2**f.depth - 1)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(f.score(x[:50]), [walk(row) for row in x[:50]])
+
+
+@pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])
+def test_forest_without_both_classes(y):
+    f = fit_forest(np.zeros((len(y), 3)), np.array(y))
+    assert ((s := f.score(np.zeros((4, 3)))) > 0).all() and (s < 1).all()
+
+
+def test_quality_held_out(spark):
+    rows = queries.op1_quality(spark, SF).toPandas()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    held = rows[rows.held_out].merge(labels, on="doc_id")
+    assert len(rows) == 200 and rows.score.between(0, 1).all() and (held.predicted == held.quality).mean() > 0.85
+
+
+def test_quality_edges(spark):
+    docs = frame(spark).drop("score")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (None, 1, 0), (3, None, None), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    forest = fit_quality(docs, labels)
+    got = quality_scores(docs, forest)
+    assert got.count() == len(documents()) and got.filter("score is null").count() == 0 and got.columns == [*docs.columns, "score"]
+    assert quality_scores(empty(spark), fit_quality(empty(spark), labels.limit(0))).count() == 0
+
+
+# --- SentencePiece -----------------------------------------------------------------------------------------------
+
+ODD = ["", " ", "  a  b ", "a" * 300, "𝔘 漢字\x00\t\r\n\n  x", "the▁quick", "　 \xa0 é́ ﻿", "aaaaabbbbbaaaa  ", "\n" * 50, "привет мир", "-----====="]
+
+
+def test_codec_equals_the_library():
+    import sentencepiece
+
+    model = model_bytes()
+    ours, theirs, r = Codec(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(5)
+    texts = ODD + ["".join(r.choice("abcdehlnorst  \n.é漢▁-_=1") for _ in range(r.randint(1, 80))) for _ in range(500)] + [prose(300, k) for k in range(5)]
+    for t in texts:
+        ids = ours.encode(t)
+        assert ids == theirs.encode(t)
+        assert ours.decode(ids) == theirs.decode(ids)
+
+
+def test_unigram_viterbi_is_the_best_segmentation():
+    codec = Codec(model_bytes(), unigram=True)
+    vocab = {p: codec.scores[i] for p, i in codec.ids.items()}
+
+    def best(unit):
+        table = [0.0] + [float("-inf")] * len(unit)
+        for e in range(1, len(unit) + 1):
+            table[e] = max(table[b] + vocab[unit[b:e]] if unit[b:e] in vocab else float("-inf") for b in range(max(0, e - 20), e))
+        return table[-1]
+
+    for word in ("▁thinking", "▁the", "abracadabra", "▁▁▁▁x", "internationalization"):
+        got = codec._segment(word)
+        assert "".join(codec.pieces[i] for i in got) == word
+        assert sum(codec.scores[i] for i in got) == pytest.approx(best(word))
+
+
+def test_encode_and_decode_documents(spark):
+    docs = frame(spark)
+    got = encode_documents(docs)
+    assert got.columns == [c for c in docs.columns if c != "text"] + ["ids", "n_tokens", "round_trip"]
+    rows = decode_documents(got).select("doc_id", "ids", "n_tokens", "round_trip", "text").collect()
+    want = {i: t or "" for i, t, *_ in documents()}
+    assert len(rows) == len(documents()) and all(r.round_trip and r.n_tokens == len(r.ids) and r.text == want[r.doc_id].replace(MARK, " ") for r in rows)
+    assert encode_documents(empty(spark)).count() == 0
+    assert PUBLIC_MODEL.endswith(".model")
+
+
+# --- mixing ------------------------------------------------------------------------------------------------------
+
+
+def test_targets():
+    got = targets({"b": 100, "a": 100, None: 100, "c": 0}, [3, 1, 2], 1.5, 2)
+    assert got["a"] == 200 and got["c"] == 0 and sum(got.values()) == pytest.approx(450) and max(got.values()) <= 200
+    assert targets({}, [3, 1, 2], 1.5, 2) == {}
+
+
+def test_mix(spark):
+    r = random.Random(8)
+    rows = [(k, prose(r.choice([5, 40, 200, 900]), k), "en", f"s{min(k % 9, 4)}", 0) for k in range(400)] + documents()
+    got = mix(frame(spark, rows)).toPandas()
+    assert len(got) == len(rows) and (got.taken == got["copies"] * got["size"]).all() and got["copies"].between(0, 2).all()
+    for _, g in got.groupby("source", dropna=False):
+        assert g.source_size.iloc[0] == g["size"].sum()
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(0.02 * g.target.iloc[0], g["size"].max())
+    counts = {}
+    for i, t, *_ in rows:
+        counts.setdefault(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    assert all(counts[None if np.isnan(i) else i] == n for i, n in zip(got.doc_id, got["size"], strict=True))
+    again = mix(frame(spark, rows).repartition(7)).toPandas()
+    key = ["source", "doc_id", "size", "copies"]
+    assert got[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
+    assert mix(empty(spark)).count() == 0
+
+
+def test_mix_satisfies_the_dual(spark):
+    """The rates meet every target, and their log odds are a multiple of the size within a source."""
+    rows = [(k, prose(10 + 13 * (k % 17), k), "en", f"s{k % 3}", 0) for k in range(300)]
+    got = mix(frame(spark, rows, clash=False), weights=(3, 1, 2), share=1.2).toPandas()
+    for _, g in got.groupby("source"):
+        if g.rate.max() < 2:
+            assert (g.rate * g["size"]).sum() == pytest.approx(g.target.iloc[0], rel=1e-6)
+            slope = np.log(g.rate / (2 - g.rate)) / g["size"]
+            assert np.allclose(slope, slope.iloc[0])
+
+
+# --- pages -------------------------------------------------------------------------------------------------------
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_common_lines_is_a_longest_common_subsequence(monkeypatch):
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(25))] for _ in "ab")
+        got = common_lines(a, b)
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    a, b = ([r.randrange(300) for _ in range(2500)] for _ in "ab")  # long enough to be halved
+    assert len(common_lines(a, b)) == lcs(a, b)
+
+
+PAGE = """<html><head><title>T</title><style>p{{}}</style><script>var x="</p><p>no";</script></head><body><header><p>Site head</p></header>
+<nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div><{box}><h1>{title}</h1><p>First &amp; <b>bold</b>
+ line<p>Second<br>part &lt;x&gt;<div class="ad">Buy</div><form><input><p>Search</p></form><section id="comments"><p>Nice one</p></section></{end}>
+<aside>Side</aside><!-- <p>gone</p> --><footer>&copy; Site</footer></body></html>"""
+
+
+def test_main_text_of_marked_pages():
+    html = PAGE.format(box="article", end="article", title="Head line")
+    assert main_text(*parse(html), set()) == "Head line\n\nFirst & bold line\n\nSecond part <x>"
+
+
+def test_differencing_finds_the_article_of_unmarked_pages(spark):
+    def page(k):
+        own = "".join(f"<p>{prose(30, 10 * k + i)}</p>" for i in range(4))
+        return f"<body><div class=top><p>Daily news of the town</p><p>Weather and sports</p></div><div class=x7>{own}</div><div class=low><p>All about us</p></div></body>"
+
+    rows = [(k, f"https://www.town.example/news/{k}", page(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    for k in range(6):
+        assert got[k] == "\n\n".join(prose(30, 10 * k + i) for i in range(4))
+
+
+def test_pages_edges(spark):
+    rows = [(1, None, None), (2, "", ""), (3, "http://h.example/a?b#c", "no markup at all"), (4, "http://h.example/a", "<p>a<p>a<p <b>"), (5, "//x", "<div>" * 3000 + "deep"), (None, "http://h.example/z", "<article></article>"), (6, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>"), (7, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "path": F.lit(1)})
+    got = {r.page_id: r for r in extract(df).collect()}
+    assert len(got) == 8 and got[1].text == got[2].text == "" and got[3].text == "no markup at all" and got[5].text == "deep"
+    assert got[6].text == got[7].text == "\n\n".join(["same"] * 3000) and got[6].n_chars == len(got[6].text)
+    assert extract(df.limit(0)).count() == 0
+    assert url_key("HTTPS://u@WWW.Host.example:80/A/b/?q#f") == ("host.example", "A/b")
+
+
+# --- personal data -----------------------------------------------------------------------------------------------
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    texts = ["card 4111111111111111 or 4111 1111 1111 1111, not 4111111111111112", "born 1984-02-29, 29.02.1984 and 30.02.1984", "DE89370400440532013000 at DE89 3704 0044 0532 0130 00", "ip 97.51.17.173 and 300.1.1.1", "call +1 (499) 555-6503 or a.b@c.example.com", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "ssn 123-45-6789, 666-12-1234", None, "", "clean text with 42 words in 2019"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit(1))
+    got = [r for r in pseudonymise(df, "k").orderBy("doc_id").collect()]
+    cards = re.findall(r"\d{16}|\d{4}(?: \d{4}){3}", got[0].text)
+    assert cards[0] == cards[1].replace(" ", "") != "4111111111111111" and luhn(cards[0]) and cards[2] == "4111111111111112"
+    iso, dmy, bad = re.findall(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}", got[1].text)
+    assert ".".join(reversed(iso.split("-"))) == dmy and date.fromisoformat(iso) and bad == "30.02.1984"
+    ibans = re.findall(r"DE\d\d(?: ?\d){18}", got[2].text)
+    bare = ibans[0][4:] + "1314" + ibans[0][2:4]
+    assert ibans[0] == ibans[1].replace(" ", "") and int(bare) % 97 == 1 and ibans[0] != "DE89370400440532013000"
+    assert "97.51.17.173" not in got[3].text and "300.1.1.1" in got[3].text
+    assert got[4].text.startswith("call +1 (") and "499" not in got[4].text and "a.b@c" not in got[4].text
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[5].text) and "1eb9c654" not in got[5].text
+    assert "123-45-6789" not in got[6].text and "666-12-1234" in got[6].text
+    assert [r.text for r in got[7:]] == ["", "", texts[9]] and [r.n_replaced for r in got] == [2, 2, 2, 1, 2, 1, 1, 0, 0, 0]
+    assert [r.text for r in pseudonymise(df, "other").orderBy("doc_id").collect()][0] != got[0].text
+    assert pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(37 * 41).select(F.floor(F.col("id") / 41).alias("a"), (F.col("id") % 41).alias("b"))
+    run = feistel(F.col("a"), F.col("b"), F.lit(37), F.lit(41), "k", F.lit("t"))
+    got = {r.x for r in df.select(run(lambda p: p["l"] * 41 + p["r"]).alias("x")).collect()}
+    assert got == set(range(37 * 41))
+
+
+def test_pseudonyms_need_no_python(spark):
+    plan = pseudonymise(frame(spark), "k")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- lines -------------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup_against_brute_force(spark):
+    r, rows = random.Random(6), []
+    for k in range(300):
+        lines = [prose(8, 1000 + k)] + [f"shared line {j}" for j in range(25) if r.random() < (j + 1) / 30] + ["", "  \t"]
+        r.shuffle(lines)
+        rows.append((k, "\n".join(lines), "en", f"s{r.randrange(1 + k % 14)}", 0))
+    rows += documents()
+    sites: dict = {}
+    for _, t, _, s, _ in rows:
+        for line in (t or "").split("\n"):
+            sites.setdefault(line.strip(" \t\x0b\x0c\r"), set()).add(s or "")
+    gone = {x for x, s in sites.items() if x and len(s) >= 10}
+    assert 3 < len(gone) < 24
+    want = []
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        bare = [x.strip(" \t\x0b\x0c\r") for x in lines]
+        want.append((i, sum(b != "" for b in bare), sum(b in gone for b in bare), "\n".join(x for x, b in zip(lines, bare, strict=True) if b not in gone)))
+    got = line_dedup(frame(spark, rows)).select("doc_id", "n_lines", "n_removed", "text")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert not re.search("Python|Pandas|ArrowEval", got._jdf.queryExecution().executedPlan().toString())
+    assert line_dedup(empty(spark)).count() == 0
+
+
+# --- licences ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_every_template_is_found_as_itself(name):
+    for form in TEMPLATES[name]:
+        (block,) = blocks_of(f"Some words before it.\n{form}\nand some after.")[:1]
+        found = Scanner().identify(block)
+        assert found and found[0][0] == name and not found[0][2] and not found[0][3]
+
+
+def test_scan(spark):
+    rows = [(1, "Prose. Licensed under the Apache License, Version 2.0. More", None, None, None), (2, "Licensed under the Apache License, Version 3.0.", None, None, None), (3, "I lost my driving license there.", None, None, None), (4, prose(9000, 3) + ".\nReleased under the MIT License.\n" + prose(9000, 4) + "\nAll rights reserved.", None, None, None), (5, None, None, None, None), (6, "", None, None, None), (None, "© all", None, None, None)]
+    got = {r.doc_id: r for r in scan(frame(spark, rows)).collect()}
+    assert got[1].licenses == ["Apache-2.0"] and got[2].licenses == [] and got[3].licenses == [] and got[4].licenses == ["MIT", "all-rights-reserved"]
+    assert got[5].n_blocks == got[6].n_blocks == 0 and got[3].n_blocks == 1 and all(0 < n.reduction < 1 for n in got[4].notices)
+    assert scan(empty(spark)).count() == 0
+
+
+# --- registration ------------------------------------------------------------------------------------------------
+
+
+def test_ten_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert json.dumps(sorted(queries.QUERIES)) and DOCS
