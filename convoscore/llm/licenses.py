@@ -62,7 +62,7 @@ CUE = re.compile(
     r"licen[sc]e|\bcopyright\b|©|all rights reserved|permission (?:is hereby granted|to use)|redistribut|public domain|free software|creative commons|\bCC[ -]BY\b|\bCC0\b|SPDX|\bGPL|warrant(?:y|ies)\b|merchantability|\bsublicense\b",
     re.I,
 )
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;]+(?=\s)|(?=\n)|\Z)", re.S)
+_STOP = re.compile(r"(?<!\bv)[.!?](?=\s|\Z)|\n|\Z")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: Words that a wording may lack, or have otherwise, of every hundred; names and versions never.
 TOLERANCE = 10
@@ -73,7 +73,7 @@ def words_of(text: str) -> list[str]:
 
 
 #: Words that tell one licence from another.
-NAMES = frozenset("mit apache gnu lesser affero bsd isc mozilla cc by nc nd sa cc0 creative commons attribution noncommercial noderivatives sharealike 1.0 2.0 3.0 4.0 2 3 unencumbered".split())
+NAMES = frozenset("mit apache gnu gpl lgpl agpl clause lesser affero bsd isc mozilla cc by nc nd sa cc0 creative commons attribution noncommercial noderivatives sharealike 1.0 2.0 3.0 4.0 2 3 unencumbered".split())
 
 
 def blocks_of(text: str) -> list[str]:
@@ -85,7 +85,7 @@ def blocks_of(text: str) -> list[str]:
         if spans and cue.end() <= spans[-1][1]:
             continue
         begin = max(text.rfind("\n", 0, cue.start()), *(text.rfind(mark, 0, cue.start()) for mark in (". ", "! ", "? ", ".\t"))) + 1
-        end = re.compile(r"[.!?:](?=\s|\Z)|\n|\Z").search(text, cue.end()).end()
+        end = _STOP.search(text, cue.end()).end()
         if spans and begin - spans[-1][1] <= 2:
             spans[-1][1] = end
         else:
