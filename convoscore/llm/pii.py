@@ -21,13 +21,13 @@ FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 250, 292
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DMY_DATE = r"(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, CARD, SECRET))
 
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
@@ -179,7 +179,8 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    return F.substring(_digest(key, "secret", value), F.lit(1), F.length(value))
+    new = F.substring(_digest(key, "secret", F.lower(value)), F.lit(1), F.length(value))
+    return F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -193,7 +194,7 @@ def pseudonym(value: Column, key: str) -> Column:
         ("ssn", value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn),
         ("phone", value.rlike(r"^[+(]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$"), _phone),
         ("card", value.rlike("^[0-9 -]{13,23}$"), _card),
-        ("secret", value.rlike("^[0-9a-f]{32,64}$"), _secret),
+        ("secret", value.rlike("^[0-9a-fA-F]{32,64}$"), _secret),
     ]
     new = kind = None
     for name, fits, make in tries:

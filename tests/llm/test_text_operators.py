@@ -228,6 +228,8 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[5].text) and "1eb9c654" not in got[5].text
     assert "123-45-6789" not in got[6].text and "666-12-1234" in got[6].text
     assert [r.text for r in got[7:]] == ["", "", texts[9]] and [r.n_replaced for r in got] == [2, 2, 2, 1, 2, 1, 1, 0, 0, 0]
+    more = pseudonymise(spark.createDataFrame([(1, "at.97.51.17.173, TOKEN = '9233A8ECF7C5B09FE5949719B6B82BC439E9329B' 1.2.3.4.5")], "doc_id long, text string"), "k").first()
+    assert (more.n_ip, more.n_secret) == (1, 1) and re.search("'[0-9A-F]{40}' 1.2.3.4.5", more.text)
     assert [r.text for r in pseudonymise(df, "other").orderBy("doc_id").collect()][0] != got[0].text
     assert pseudonymise(df.limit(0), "k").count() == 0
 
