@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units that a worker remembers at most; then it starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
