@@ -714,3 +714,36 @@ def event_sessions(spark, sf_dir):
     from ..streaming.live import sessions
 
     return sessions(_events(spark, sf_dir)).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", F.round("total", 4).alias("total"))
+
+
+_CATS = [d["category"] for d in _K["categories_detail"]]
+_MET = [f"((call_id + {k}) % 3 <> 0 AND ((call_id + {k}) % 5) / CAST(4 AS DOUBLE) >= 0.5)" for k in range(len(_CATS))]
+_J_HOLD = (
+    "CASE WHEN call_id % 11 = 0 THEN 'close: omitted' "
+    + " ".join(f"WHEN {m} AND (call_id % 6 = 0 OR agent_text = '') AND NOT contains(agent_text, 'made up') THEN '{c}: met without its quote'" for m, c in zip(_MET, _CATS, strict=True))
+    + " WHEN call_id % 10 = 9 THEN 'emotion: score is invalid' END"
+)
+
+
+@query(
+    f"""WITH {CALLS}, h AS (SELECT call_id, coalesce(CASE WHEN call_id % 11 = 0 THEN (SELECT min_by(r, k) FROM (VALUES
+        (0, CASE WHEN {_MET[0]} AND (call_id % 6 = 0 OR agent_text = '') THEN 'greeting: met without its quote' END),
+        (1, CASE WHEN {_MET[1]} AND (call_id % 6 = 0 OR agent_text = '') THEN 'offer: met without its quote' END), (2, 'close: omitted')) v(k, r) WHERE r IS NOT NULL) END, {_J_HOLD}) AS hold_reason,
+        {" + ".join(f"({m})::BIGINT" for m in _MET[:3])} AS m, call_id % 6 <> 0 AS real FROM calls)
+    SELECT call_id, CASE WHEN hold_reason IS NULL THEN 3::BIGINT END AS mandatory_count, CASE WHEN hold_reason IS NULL THEN m END AS matched_mandatory, CASE WHEN hold_reason IS NULL THEN round(m / 3, 3) END AS adherence_score,
+    CASE WHEN hold_reason IS NULL THEN (call_id % 10) / CAST(8 AS DOUBLE) END AS emotion_score, CASE WHEN hold_reason IS NULL THEN (call_id % 4) / CAST(4 AS DOUBLE) END AS active_listening_score,
+    CASE WHEN hold_reason IS NULL THEN CASE WHEN call_id % 2 = 0 THEN 'na' ELSE 'true' END END AS objection_raised, CASE WHEN hold_reason IS NULL THEN CASE WHEN call_id % 2 = 0 THEN 'na' WHEN call_id % 4 = 1 THEN 'true' ELSE 'false' END END AS objection_rebutted, hold_reason FROM h"""
+)
+def judged_adherence(spark, sf_dir):
+    """A made-up judge: some answers leave a category out, quote what was not said, or give a score above 1."""
+    from ..operators.judged import judged_adherence as judged
+
+    k = F.col("call_id")
+    quote = F.when(k % 6 == 0, "made up").otherwise(F.substring("agent_text", 1, 8))
+    element = lambda i, c: F.struct(F.lit(c).alias("category"), ((k + i) % 3 != 0).cast("string").alias("present"), (((k + i) % 5) / 4.0).cast("string").alias("conveyed"), quote.alias("evidence"))
+    elements = F.filter(F.array(*(element(i, c) for i, c in enumerate(_CATS))), lambda e: (k % 11 != 0) | (e["category"] != "close"))
+    score = lambda n, d: F.struct(((k % n) / float(d)).alias("score"))
+    objection = F.when(k % 2 == 1, F.struct(F.lit("TRUE").alias("raised"), (k % 4 == 1).alias("rebutted")))
+    answer = F.to_json(F.struct(elements.alias("elements"), score(10, 8).alias("emotion"), score(4, 4).alias("active_listening"), objection.alias("objection")))
+    df = A.calls(spark, sf_dir).select("call_id", F.col("agent_text").alias("source_text"), answer.alias("verdict"))
+    return judged(df, PROFILE.contract).drop("quotes_exact")
