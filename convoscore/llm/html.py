@@ -25,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("nav footer aside form button select menu dialog head".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification disclaimer newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead topbar footer comment comments disqus respond replies reply discussion related recommended recommendations share sharing social widget popup modal overlay login signup skip".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification disclaimer newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead topbar footer comment comments disqus respond replies reply discussion related recommended recommendations share sharing social widget popup modal overlay login signup skip adbox adslot adsbygoogle commentlist cookiebar cookiebanner sidenav sitenav siteheader sitefooter pagefooter".split()
 )
 HEADER_WORDS = frozenset("header head".split())
 CONTENT_WORDS = frozenset("article articlebody post entry story content maincontent bodytext".split())
@@ -39,19 +39,22 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Class names that begin so tell what the page has or lacks elsewhere, not what the element is.
+_ELSEWHERE = re.compile(r"\b(?:has|with|no|without|show|hide)[-_]\S+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _nature(name: str, attr: str, inside_article: bool) -> tuple[bool, bool]:
     """(skipped, article) for an element."""
     values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attr)} if attr.strip(" /") else {}
-    words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+    named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{values.get('class', '')} {values.get('id', '')}").lower()
+    words = set(_WORD.findall(_ELSEWHERE.sub(" ", named)))
     role = values.get("role", "").lower()
     skipped = (
         name in SKIPPED or role in SKIPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(values.get("style", "")))
         or name == "header" and not inside_article
-        or name not in ("body", "html", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and (bool(words & SKIPPED_WORDS) or bool(words & HEADER_WORDS) and not inside_article)
-        or name == "article" and bool(words & {"comment", "comments", "reply", "ad", "sponsored", "related", "teaser"})
+        or name not in ("body", "html", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6") and (bool(words & SKIPPED_WORDS) or bool(words & HEADER_WORDS) and not inside_article)
+        or name == "article" and bool(words & {"comment", "comments", "reply", "sponsored", "related", "teaser"})
     )
     article = name in ("article", "main") or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody" or name in ("div", "section", "td") and bool(words & CONTENT_WORDS)
     return skipped, article and not skipped

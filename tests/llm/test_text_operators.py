@@ -184,6 +184,11 @@ def test_main_text_of_marked_pages():
     assert main_text(*parse(html), set()) == "Head line\n\nFirst & bold line\n\nSecond part <x>"
 
 
+def test_class_names_of_the_page_are_not_those_of_the_element():
+    html = '<body class="menu"><div class="main has-sidebar no-ads"><article class="ad-free"><p>One</p><p class="advert">Buy</p></article></div><div id="sideBar">x</div></body>'
+    assert main_text(*parse(html), set()) == "One"
+
+
 def test_differencing_finds_the_article_of_unmarked_pages(spark):
     def page(k):
         own = "".join(f"<p>{prose(30, 10 * k + i)}</p>" for i in range(4))
