@@ -22,22 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Units that a worker remembers at most; then it starts again.
-REMEMBERED = 400_000
+#: Units in each of the two generations that a worker remembers.
+REMEMBERED = 120_000
 PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class _Units(dict):
-    """The ids of a unit, remembered up to a number of units; long ones are not."""
+    """The ids of a unit, remembered in two generations: a full one becomes the old one, and what is asked for again comes
+    back from there, so frequent units stay.  Long ones are not remembered."""
 
     def __init__(self, codec: Codec, before: str):
         super().__init__()
-        self.codec, self.before = codec, before
+        self.codec, self.before, self.old = codec, before, {}
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        found = self.codec._unit(self.before + unit)
+        found = self.old.pop(unit, None)
+        if found is None:
+            found = self.codec._unit(self.before + unit)
         if len(unit) < 100:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[unit] = found
         return found
