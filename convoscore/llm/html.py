@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages become lines (the blocks of their text) that know their containers.  Pages of a host are sorted by path; each is
-compared with the neighbour whose path shares the longest prefix: their lines are aligned by a longest common
-subsequence, and shared lines are deleted as the site's template.  What a page alone has then tells which container holds
-its article.  An article may share lines with its neighbour too (a copy, a common sentence), so lines of a container that
-is marked up as the article return to it; elsewhere they stay deleted.  Menus, forms, adverts and the like never count.
+compared with the neighbour whose path shares the longest prefix and that is no copy of it: their lines are aligned by a
+longest common subsequence, and shared lines are deleted as the site's template.  An article may share lines with that
+page too (a common sentence), so lines of containers that are marked up as the article return to it; elsewhere they stay
+deleted.  A page that has only copies around it keeps its lines.  Menus, forms, adverts and the like never count.
 """
 
 from __future__ import annotations
@@ -187,7 +187,9 @@ def main_text(lines: list[str], where: list[int], parents: list[int], marked: li
     for box in range(1, len(parents)):
         article[box] = marked[box] or article[parents[box]]
     tops = [b for b in range(1, len(parents)) if marked[b] and not article[parents[b]]]
-    if any(held[b] for b in tops):
+    if any(len(x) for x, box in zip(lines, where, strict=True) if article[box]):
+        if not any(held[b] for b in tops):  # nothing marked is the page's own: the article may be a copy, or lie elsewhere
+            return "\n\n".join(x for i, (x, box) in enumerate(zip(lines, where, strict=True)) if article[box] or i not in shared)
         # The marked container with most text of its own; inside it, the innermost marked one that has nearly all of it.
         best = max(tops, key=lambda b: (held[b], -b))
         for box in range(best + 1, len(parents)):
@@ -235,35 +237,101 @@ def _near(a: str, b: str) -> int:
     return len(commonprefix([a, b]))
 
 
+#: Pages are copies of each other if one of them has less than this share of its text for itself.
+COPY = 0.1
+#: Pages of a run of copies that are held in memory; more go to a temporary file.
+HELD = 256
+
+
+def _meet(a, b, known: list) -> tuple[bool, list[tuple[int, int]]]:
+    """(whether two pages are copies, index pairs of their shared lines); ``known`` has the answers for the last pairs.
+
+    A page without text tells nothing, so it counts as a copy."""
+    for x, y, answer in known:
+        if x is a and y is b:
+            return answer
+    pairs = common_lines(a["lines"], b["lines"])
+    same = sum(len(a["lines"][i]) for i, _ in pairs)
+    answer = any(n - same <= COPY * n for n in (sum(map(len, x["lines"])) for x in (a, b))), pairs
+    known[:] = [(a, b, answer), *known[:2]]
+    return answer
+
+
+def _finish(page, before, after, known: list):
+    """Row of a page, differenced against the nearer one of ``before`` and ``after``, the pages around its run (or None)
+    that are no copies of it."""
+    best, shared = -1, set()
+    if before and not (met := _meet(before, page, known))[0]:
+        best, shared = _near(before["path"], page["path"]), {j for _, j in met[1]}
+    if after and _near(after["path"], page["path"]) > best and not (met := _meet(page, after, known))[0]:
+        shared = {i for i, _ in met[1]}
+    text = main_text(page["lines"], page["box"], page["parent"], page["marked"], shared)
+    return page["page_id"], page["url"], text, len(text)
+
+
+class _Run:
+    """Neighbouring pages of a host, each a copy of the one before it.  A long run goes to a temporary file."""
+
+    def __init__(self, page, before):
+        self.before, self.last, self.held, self.file = before, page, [page], None
+
+    def add(self, page):
+        import pickle
+        import tempfile
+
+        self.last = page
+        self.held.append(page)
+        if len(self.held) >= HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            pickle.dump(self.held, self.file)
+            self.held = []
+
+    def pages(self):
+        import pickle
+
+        if self.file:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield from pickle.load(self.file)
+            self.file.close()
+        yield from self.held
+
+
+def _runs(pages, known: list):
+    """(run, page after it or None) of pages in order of host and path."""
+    run = None
+    for page in pages:
+        if run is None:
+            run = _Run(page, None)
+        elif run.last["host"] != page["host"]:
+            yield run, None
+            run = _Run(page, None)
+        elif _meet(run.last, page, known)[0]:
+            run.add(page)
+        else:
+            yield run, page
+            run = _Run(page, run.last)
+    if run is not None:
+        yield run, None
+
+
 def _difference(batches):
-    """Pages in order of host and path; holds two pages and what they share, whatever the size of a host."""
+    """Pages in order of host and path; holds one run of copies and the pages around it, whatever the size of a host."""
     import pyarrow as pa
 
     def emit(rows):
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
 
-    def finish(page, before, after):
-        """before and after: (length of the common path, indexes of shared lines), or None."""
-        shared = max((x for x in (before, after) if x), key=lambda x: x[0], default=(0, set()))[1]
-        text = main_text(page["lines"], page["box"], page["parent"], page["marked"], shared)
-        return page["page_id"], page["url"], text, len(text)
-
-    last, before = None, None
-    for batch in batches:
-        rows = []
-        for page in batch.to_pylist():
-            if last is not None:
-                here = there = None
-                if last["host"] == page["host"]:
-                    same, near = common_lines(last["lines"], page["lines"]), _near(last["path"], page["path"])
-                    here, there = (near, {i for i, _ in same}), (near, {j for _, j in same})
-                rows.append(finish(last, before, here))
-                before = there
-            last = page
-        yield emit(rows)
-    if last is not None:
-        yield emit([finish(last, before, None)])
+    rows, known = [], []
+    for run, after in _runs((page for batch in batches for page in batch.to_pylist()), known):
+        for page in run.pages():
+            rows.append(_finish(page, run.before, after, known))
+            if len(rows) >= 1000:
+                yield emit(rows)
+                rows = []
+    yield emit(rows)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -200,6 +200,29 @@ def test_differencing_finds_the_article_of_unmarked_pages(spark):
         assert got[k] == "\n\n".join(prose(30, 10 * k + i) for i in range(4))
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"http://h.example{path}", html) for k, (path, html) in enumerate(pages)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).orderBy("page_id").collect()]
+
+
+def test_copies_keep_their_article(spark):
+    def page(body, odd="", box="div"):
+        return f"<body><div class=x1><p>Daily news of the town</p></div><{box}>{''.join(f'<p>{x}</p>' for x in body)}</{box}><p>{odd}</p></body>"
+
+    one, two = [prose(30, k) for k in range(4)], [prose(30, 10 + k) for k in range(4)]
+    # marked up, with and without another page
+    marked = [("/a/1", page(one, box="article")), ("/a/1/print", page(one, "Printed 12:03", "article"))]
+    assert texts_of(spark, marked) == ["\n\n".join(one)] * 2
+    assert texts_of(spark, [*marked, ("/a/2", page(two, box="article"))]) == ["\n\n".join(one)] * 2 + ["\n\n".join(two)]
+    # marked up, and much differs outside the article: nothing of it is lost
+    got = texts_of(spark, [("/a/1", page(one, prose(40, 77), "article")), ("/a/1/print", page(one, prose(40, 78), "article"))])
+    assert all(t.startswith("\n\n".join(one)) for t in got)
+    # without markup: near and exact copies, more of them than are held in memory
+    plain = [(f"/a/1/{k:03}", page(one, "Printed 12:03" if k % 2 else "")) for k in range(600)] + [("/a/2", page(two))]
+    got = texts_of(spark, plain)
+    assert got[0::2] == ["\n\n".join(one)] * 300 + ["\n\n".join(two)] and all(t.startswith("\n\n".join(one)) for t in got[1::2])
+
+
 def test_pages_edges(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h.example/a?b#c", "no markup at all"), (4, "http://h.example/a", "<p>a<p>a<p <b>"), (5, "//x", "<div>" * 3000 + "deep"), (None, "http://h.example/z", "<article></article>"), (6, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>"), (7, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "path": F.lit(1)})
