@@ -217,18 +217,45 @@ def url_key(url: str) -> tuple[str, str]:
     return host.removeprefix("www."), re.split(r"[?#]", path, maxsplit=1)[0].rstrip("/")
 
 
-_PAGE = "page_id long, url string, host string, path string, lines array<string>, box array<int>, parent array<int>, marked array<boolean>"
+_PAGE = "part int, page_id long, url string, host string, path string, lines array<string>, box array<int>, parent array<int>, marked array<boolean>"
 
 
-def _parse_pages(batches):
+_TEXT = "page_id long, url string, text string, n_chars long"
+_NAMES = ("part", "page_id", "url", "host", "path", "lines", "box", "parent", "marked")
+_BORDER_NAMES = (*_NAMES, "seq", "guest", "fresh")
+_ORDER = ("host", "path", "page_id", "url")
+
+
+def _place(page_id, url) -> tuple:
+    """What pages are sorted by, as Spark sorts ``_ORDER``: nulls first, text by code points."""
+    return (*url_key(url), page_id is not None, page_id or 0, url is not None, url or "")
+
+
+def _pages(columns: list, names: tuple = _NAMES):
     import pyarrow as pa
 
-    for batch in batches:
-        urls, pages = batch.column(1).to_pylist(), [parse(x or "") for x in batch.column(2).to_pylist()]
-        keys = [url_key(u) for u in urls]
-        cols = [[k[0] for k in keys], [k[1] for k in keys], *([p[i] for p in pages] for i in range(4))]
-        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["page_id", "url", "host", "path", "lines", "box", "parent", "marked"])
+    kinds = {"part": pa.int32(), "page_id": pa.int64(), "lines": pa.list_(pa.string()), "box": pa.list_(pa.int32()), "parent": pa.list_(pa.int32()), "marked": pa.list_(pa.bool_()), "seq": pa.int64(), "guest": pa.bool_(), "fresh": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, columns, strict=True)], list(names))
+
+
+def _parse_pages(bounds: list[tuple]):
+    def parse_pages(batches):
+        from bisect import bisect_right
+
+        for batch in batches:
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            pages = [parse(x or "") for x in batch.column(2).to_pylist()]
+            places = [_place(i, u) for i, u in zip(ids, urls, strict=True)]
+            yield _pages([[bisect_right(bounds, x) for x in places], ids, urls, [x[0] for x in places], [x[1] for x in places], *([p[i] for p in pages] for i in range(4))])
+
+    return parse_pages
+
+
+def _bounds(pages: DataFrame, parts: int) -> list[tuple]:
+    """Places that cut the pages into ``parts`` ranges of about the same size, from a sample of their urls."""
+    every = max(1, pages.count() // (SAMPLE * parts))
+    sample = sorted(_place(*row) for row in pages.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("page_id", "url").toLocalIterator())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 
 def _near(a: str, b: str) -> int:
@@ -239,6 +266,8 @@ def _near(a: str, b: str) -> int:
 
 #: Pages are copies of each other if one of them has less than this share of its text for itself.
 COPY = 0.1
+#: Sampled urls for each range of pages.
+SAMPLE = 40
 #: Pages of a run of copies that are held in memory; more go to a temporary file.
 HELD = 256
 
@@ -299,7 +328,8 @@ class _Run:
 
 
 def _runs(pages, known: list):
-    """(run, page after it or None) of pages in order of host and path."""
+    """(run, page after it or None) of pages in order of host and path; a fresh page is known to be no copy of the one
+    before it."""
     run = None
     for page in pages:
         if run is None:
@@ -307,7 +337,7 @@ def _runs(pages, known: list):
         elif run.last["host"] != page["host"]:
             yield run, None
             run = _Run(page, None)
-        elif _meet(run.last, page, known)[0]:
+        elif not page.get("fresh") and _meet(run.last, page, known)[0]:
             run.add(page)
         else:
             yield run, page
@@ -316,35 +346,101 @@ def _runs(pages, known: list):
         yield run, None
 
 
-def _difference(batches):
-    """Pages in order of host and path; holds one run of copies and the pages around it, whatever the size of a host."""
+def _ends(batches, known: list):
+    """(run, page after it or None, whether it is the first of its range, whether the last)."""
+    from itertools import groupby
+
+    for _, pages in groupby((page for batch in batches for page in batch.to_pylist()), key=lambda page: page["part"]):
+        held, first = None, True
+        for item in _runs(pages, known):
+            if held:
+                yield *held, first, False
+                first = False
+            held = item
+        yield *held, first, True
+
+
+def _texts(found):
+    """Batches of rows out of (run, page after it) pairs."""
     import pyarrow as pa
 
     def emit(rows):
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
 
-    rows, known = [], []
-    for run, after in _runs((page for batch in batches for page in batch.to_pylist()), known):
+    known, rows = next(found), []
+    for run, after in found:
         for page in run.pages():
-            rows.append(_finish(page, run.before, after, known))
+            if not page.get("guest"):
+                rows.append(_finish(page, run.before, after, known))
             if len(rows) >= 1000:
                 yield emit(rows)
                 rows = []
     yield emit(rows)
 
 
+def _difference(batches):
+    """Rows of a range's pages in order of host and path, but for its first and its last run.  Holds two runs of copies
+    and the pages around them, whatever the size of a host."""
+
+    def inner():
+        yield (known := [])
+        yield from ((run, after) for run, after, first, last in _ends(batches, known) if not (first or last))
+
+    return _texts(inner())
+
+
+def _borders(batches):
+    """The pages of a range's first and last run, in order, with the page that ends the one and begins the other; those
+    are guests, which only serve as neighbours."""
+
+    def pages():
+        for run, after, first, last in _ends(batches, []):
+            if first:
+                yield from ((page, False, False) for page in run.pages())
+                if after and not last:
+                    yield after, True, True
+            elif last:
+                if run.before:
+                    yield run.before, True, True
+                yield from ((page, False, k == 0) for k, page in enumerate(run.pages()))
+
+    rows = []
+    for seq, (page, guest, fresh) in enumerate(pages()):
+        rows.append((*(page[k] for k in _NAMES), seq, guest, fresh))
+        if len(rows) >= 1000:
+            yield _pages(list(zip(*rows, strict=True)), _BORDER_NAMES)
+            rows = []
+    if rows:
+        yield _pages(list(zip(*rows, strict=True)), _BORDER_NAMES)
+
+
+def _difference_borders(batches):
+    """Rows of the pages that ``_borders`` gave, in order of host, range and place."""
+
+    def whole():
+        yield (known := [])
+        yield from _runs((page for batch in batches for page in batch.to_pylist()), known)
+
+    return _texts(whole())
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars.
 
     The whole html is read; null counts as empty.  A null or odd url gives an empty host, whose pages are compared with
     each other like any host's.  Pages with the same url are neighbours in order of id; a page without a neighbour keeps
-    all that its markup does not rule out.  The only shuffle carries lines, by ranges of (host, path, id), so that a
-    host with a third of all pages is cut like any other; at a range's border a page has one neighbour instead of two.
+    all that its markup does not rule out.  The large shuffle carries lines, by ranges of (host, path, id, url), so that
+    a host with a third of all pages is cut like any other; a small one brings the pages at the ranges' borders together,
+    so that the ranges don't show in the result.
     """
     from .common import n_shuffle
 
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = pages.mapInArrow(_parse_pages, _PAGE)
-    placed = parsed.repartitionByRange(n_shuffle(pages.sparkSession), "host", "path", "page_id", "url").sortWithinPartitions("host", "path", "page_id", "url")
-    return placed.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    parts = n_shuffle(pages.sparkSession)
+    bounds = _bounds(pages, parts)
+    parsed = pages.mapInArrow(_parse_pages(bounds), _PAGE)
+    placed = parsed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", *_ORDER)
+    borders = placed.mapInArrow(_borders, f"{_PAGE}, seq long, guest boolean, fresh boolean")
+    borders = borders.repartition(parts, "host").sortWithinPartitions("host", "part", "seq")
+    return placed.mapInArrow(_difference, _TEXT).unionByName(borders.mapInArrow(_difference_borders, _TEXT))

@@ -223,6 +223,27 @@ def test_copies_keep_their_article(spark):
     assert got[0::2] == ["\n\n".join(one)] * 300 + ["\n\n".join(two)] and all(t.startswith("\n\n".join(one)) for t in got[1::2])
 
 
+def test_ranges_of_pages_do_not_show(spark):
+    def page(host, k):
+        own = "".join(f"<p>{prose(9, 1000 * host + 10 * k + i)}</p>" for i in range(4))
+        return f"<body><div class=top><p>Daily news of town {host}</p></div><div class=x7>{own}</div><div class=low><p>All about us</p></div></body>"
+
+    rows = [(100 * h + k, f"http://h{h}.example/a/{k:02}", page(h, 5 if 5 <= k < 15 or k > 36 else k)) for h in range(3) for k in range(40)]
+    rows += [(1000 + h, f"http://two{h % 4}.example/{h}", page(9 + h % 4, h)) for h in range(8)]
+    df, before = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in (1, 4, 13, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = extract(df)
+            got.append(sorted(map(tuple, found.collect())))
+            assert len(got[-1]) == len(rows) and got[-1] == got[0]
+            assert "ReusedExchange" in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not [t for _, _, t, _ in got[0] if "Daily" in t or "All about" in t]
+
+
 def test_pages_edges(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h.example/a?b#c", "no markup at all"), (4, "http://h.example/a", "<p>a<p>a<p <b>"), (5, "//x", "<div>" * 3000 + "deep"), (None, "http://h.example/z", "<article></article>"), (6, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>"), (7, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "path": F.lit(1)})
