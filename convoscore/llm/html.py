@@ -174,39 +174,20 @@ def common_lines(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def main_text(lines: list[str], where: list[int], parents: list[int], marked: list[bool], shared: set[int]) -> str:
-    """The article's lines, joined by empty lines.  ``shared``: indexes of the lines that differencing deleted."""
-    own = [len(x) if i not in shared else 0 for i, x in enumerate(lines)]
-    if not any(own):  # a copy of its neighbour tells nothing
-        own, shared = [len(x) for x in lines], set()
-    held = [0] * len(parents)
-    for n, box in zip(own, where, strict=True):
-        held[box] += n
-    for box in range(len(parents) - 1, 0, -1):  # parents come before their children
-        held[parents[box]] += held[box]
+    """The article's lines, joined by empty lines.  ``shared``: indexes of the lines that differencing deleted.
+
+    All lines of containers marked as the article; if none of them is the page's own, then the page's own lines too, as
+    the article may be a copy or lie elsewhere.  Without markup, all lines of the page's own."""
+    if len(shared) == len(lines):  # a copy of its neighbour tells nothing
+        shared = set()
     article = [False] * len(parents)
-    for box in range(1, len(parents)):
+    for box in range(1, len(parents)):  # parents come before their children
         article[box] = marked[box] or article[parents[box]]
-    tops = [b for b in range(1, len(parents)) if marked[b] and not article[parents[b]]]
-    if any(len(x) for x, box in zip(lines, where, strict=True) if article[box]):
-        if not any(held[b] for b in tops):  # nothing marked is the page's own: the article may be a copy, or lie elsewhere
-            return "\n\n".join(x for i, (x, box) in enumerate(zip(lines, where, strict=True)) if article[box] or i not in shared)
-        # The marked container with most text of its own; inside it, the innermost marked one that has nearly all of it.
-        best = max(tops, key=lambda b: (held[b], -b))
-        for box in range(best + 1, len(parents)):
-            if marked[box] and held[box] >= 0.9 * held[best] and _within(parents, box, best):
-                best = box
-        return "\n\n".join(x for x, box in zip(lines, where, strict=True) if _within(parents, box, best))
-    best = 0
-    for box in range(1, len(parents)):  # without markup: the innermost container that has most of the page's own text
-        if held[box] > 0.7 * held[0] and _within(parents, box, best):
-            best = box
-    return "\n\n".join(x for i, (x, box) in enumerate(zip(lines, where, strict=True)) if i not in shared and _within(parents, box, best))
-
-
-def _within(parents: list[int], box: int, top: int) -> bool:
-    while box > top:
-        box = parents[box]
-    return box == top
+    inside = [i for i, box in enumerate(where) if article[box]]
+    own = [i for i in range(len(lines)) if i not in shared]
+    if inside and not shared.issuperset(inside):
+        own = inside
+    return "\n\n".join(lines[i] for i in sorted({*inside, *own}))
 
 
 def url_key(url: str) -> tuple[str, str]:

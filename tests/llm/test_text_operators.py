@@ -244,6 +244,17 @@ def test_ranges_of_pages_do_not_show(spark):
     assert not [t for _, _, t, _ in got[0] if "Daily" in t or "All about" in t]
 
 
+def test_no_line_of_the_article_is_cut(spark):
+    long = prose(400, 1)
+    nested = f'<body><p>Top</p><article><h1>Title</h1><p>lead</p><div class="content"><p>{long}</p></div><p>end</p></article></body>'
+    assert main_text(*parse(nested), set()) == f"Title\n\nlead\n\n{long}\n\nend"
+    parts = f'<body><section class="entry"><p>{long}</p></section><p>between</p><section class="entry"><p>Second part</p></section></body>'
+    assert main_text(*parse(parts), set()) == f"{long}\n\nSecond part"
+    assert main_text(*parse(parts), {0, 2}) == f"{long}\n\nbetween\n\nSecond part"  # its own text lies elsewhere
+    plain = [("/a/1", f"<body><p>Top</p><h1>Title 1</h1><div class=x1><p>{long}</p></div><p>Written by A</p></body>"), ("/a/2", f"<body><p>Top</p><h1>Title 2</h1><div class=x1><p>{prose(400, 2)}</p></div><p>Written by B</p></body>")]
+    assert texts_of(spark, plain) == [f"Title 1\n\n{long}\n\nWritten by A", f"Title 2\n\n{prose(400, 2)}\n\nWritten by B"]
+
+
 def test_pages_edges(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h.example/a?b#c", "no markup at all"), (4, "http://h.example/a", "<p>a<p>a<p <b>"), (5, "//x", "<div>" * 3000 + "deep"), (None, "http://h.example/z", "<article></article>"), (6, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>"), (7, "http://h.example/y", "<article>" + "<p>same</p>" * 3000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "path": F.lit(1)})
