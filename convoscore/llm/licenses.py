@@ -8,18 +8,18 @@ whose wording the block really has, word by word, wins.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-#: Licence names with the wordings of public notices and of the texts themselves (their first sentences,
-#: which name and grant; longer texts are found by them).  The first forms must hold all words in order; <> marks none.
+#: Licence names with the wordings of public notices and file headers.  The texts themselves are whole, in
+#: license_texts/ (without list numbers and appendices), for those licences that have a file there.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
@@ -37,15 +37,22 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -66,6 +73,8 @@ _STOP = re.compile(r"(?<!\bv)[.!?](?=\s|\Z)|\n|\Z")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: Words that a wording may lack, or have otherwise, of every hundred; names and versions never.
 TOLERANCE = 10
+#: Whole texts are looked for by runs of so many words.
+RUN = 5
 
 
 def words_of(text: str) -> list[str]:
@@ -74,10 +83,19 @@ def words_of(text: str) -> list[str]:
 
 #: Words that tell one licence from another.
 NAMES = frozenset("mit apache gnu gpl lgpl agpl clause lesser affero bsd isc mozilla cc by nc nd sa cc0 creative commons attribution noncommercial noderivatives sharealike 1.0 2.0 3.0 4.0 2 3 unencumbered".split())
+#: Those of them that are common words or list numbers in a whole text.
+LIST_WORDS = frozenset("by 2 3".split())
 
 
-def blocks_of(text: str) -> list[str]:
-    """Runs of neighbouring sentences with a cue; every cue of the text is in one of them.
+def license_texts() -> dict[str, str]:
+    """The whole texts in license_texts/ by licence."""
+    from importlib.resources import files
+
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+
+
+def spans_of(text: str) -> list[list[int]]:
+    """Begin and end of the runs of neighbouring sentences with a cue; every cue of the text is in one of them.
 
     The text is only cut around cues: what lies between is never looked at sentence by sentence."""
     spans: list[list[int]] = []
@@ -90,7 +108,11 @@ def blocks_of(text: str) -> list[str]:
             spans[-1][1] = end
         else:
             spans.append([begin, end])
-    return [text[a:b].strip() for a, b in spans]
+    return spans
+
+
+def blocks_of(text: str) -> list[str]:
+    return [text[a:b].strip() for a, b in spans_of(text)]
 
 
 def difference(block: list[str], form: list[str]) -> tuple[list[str], list[str]]:
@@ -106,15 +128,36 @@ def difference(block: list[str], form: list[str]) -> tuple[list[str], list[str]]
     return [w for j, w in enumerate(form) if j not in held], [block[i] for i in stretch if i not in used]
 
 
+def whole_texts(words: list[str], form: list[str], slack: int) -> list[tuple[int, int]]:
+    """Stretches of ``words`` that may be the long ``form``, as the runs of five words that both have tell."""
+    at: dict[tuple, list[int]] = {}
+    for j in range(len(form) - RUN + 1):
+        at.setdefault(tuple(form[j : j + RUN]), []).append(j)
+    hits = sorted((i - j, i, j) for i in range(len(words) - RUN + 1) for j in at.get(tuple(words[i : i + RUN]), ()))
+    out, near = [], []
+    for hit in [*hits, (float("inf"), 0, 0)]:
+        if near and hit[0] - near[-1][0] > slack:  # another copy of the text
+            # runs that the form repeats lie on diagonals of their own, mostly alone
+            if len({i for _, i, _ in near}) * RUN >= len(form) // 4:
+                _, i, j = min(near, key=lambda x: x[1])
+                _, k, m = max(near, key=lambda x: x[1])
+                out.append((max(0, i - j), min(len(words), k + len(form) - m)))
+            near = []
+        near.append(hit)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
         import zstandard as zstd
 
+        texts = license_texts()
         self.plain = zstd.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.forms = {name: [words_of(f) for f in forms] for name, forms in templates.items()}
+        self.texts = {name: words_of(texts[name]) for name in templates if name in texts}
         self.with_template = {}
         for name, forms in templates.items():
-            dictionary = zstd.ZstdCompressionDict("\n".join(forms).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            dictionary = zstd.ZstdCompressionDict("\n".join([*([texts[name]] if name in texts else []), *forms]).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             self.with_template[name] = zstd.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def rank(self, block: str) -> list[tuple[float, str]]:
@@ -124,25 +167,63 @@ class Scanner:
         return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
 
     def identify(self, block: str) -> list[tuple[str, float, list[str], list[str]]]:
-        """(licence, size reduction, missing words, other words) for every notice in the block, in order of the ranking.
+        """(licence, size reduction, missing words, other words) for every notice in the block, in order of the ranking."""
+        words = words_of(block)
+        return [x[:4] for x in self._identify(block, words, 0, len(words))]
+
+    def notices(self, text: str) -> tuple[int, list[tuple[str, str, float, list[str], list[str]]]]:
+        """(number of blocks, (block, licence, size reduction, missing words, other words) for every notice).
+
+        A wording begins in a block, or before it, and may go on behind it."""
+        spans, out, seen = spans_of(text), [], []
+        if not spans:
+            return 0, []
+        found = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
+        starts, words = [a for a, _ in found], [w for _, w in found]
+        for a, b in spans:
+            begin, end = bisect_left(starts, a), bisect_left(starts, b)
+            if any(x <= begin and end <= y for _, x, y in seen):  # inside a text that was found
+                continue
+            block = text[a:b].strip()
+            for name, share, missing, other, x, y in self._identify(block, words, begin, end):
+                if (name, x, y) not in seen:
+                    seen.append((name, x, y))
+                    out.append((block, name, share, missing, other))
+        return len(spans), out
+
+    def _identify(self, block: str, words: list[str], begin: int, end: int) -> list[tuple]:
+        """What ``identify`` gives, and begin and end of the wording, for the block words[begin:end].
 
         A wording is confirmed if it lacks no name or version, and no more than TOLERANCE % of its words differ.  A
         notice that lies inside another one (of the same words) is not a second one."""
-        words, out = words_of(block), []
+        out: list[tuple] = []
         taken: set[str] = set()
         for share, name in self.rank(block):
             best = None
-            for form in self.forms[name]:
-                missing, other = difference(words, form)
+            for form, names, whole in [*((f, NAMES, False) for f in self.forms[name]), *((f, NAMES - LIST_WORDS, True) for f in [self.texts.get(name)] if f)]:
                 allowed = len(form) * TOLERANCE // 100
-                if len(missing) <= allowed and len(other) <= allowed and not NAMES & {*missing, *other}:
-                    found = (len(missing) + len(other), -len(form), missing, other)
-                    best = min(best, found) if best else found
+                for x, y in self._stretches(words, begin, end, form, allowed, whole):
+                    missing, other = difference(words[x:y], form)
+                    if len(missing) <= allowed and len(other) <= allowed and not names & {*missing, *other}:
+                        found = (len(missing) + len(other), -len(form), missing, other, x, y)
+                        best = min(best, found) if best else found
             if best and not any(name != t and name.split("-")[0] == t.split("-")[0] for t in taken):
                 taken.add(name)
-                out.append((name, share, best[2], best[3]))
+                out.append((name, share, *best[2:]))
         return out
 
+    def _stretches(self, words: list[str], begin: int, end: int, form: list[str], allowed: int, whole: bool) -> list[tuple[int, int]]:
+        """Stretches of the words that touch the block and may be the wording."""
+        size = len(form) + allowed
+        if not whole:
+            return [(begin, min(len(words), end + size))]
+        low, high = max(0, begin - size), min(len(words), end + size)
+        region = words[low:high]
+        if len(set(form) - set(region)) > allowed:
+            return []
+        found = [(low + x, low + y) for x, y in whole_texts(region, form, allowed)]
+        return [(x, y) for x, y in found if x < end and begin < y]
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_blocks (candidate blocks), licenses (sorted names), notices: an array of
@@ -167,9 +248,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             counts, names, notices = [], [], []
             for text in batch.column(1).to_pylist():
-                blocks = blocks_of(text or "")
-                found = [{"block": b, "license": name, "reduction": round(share, 6), "missing": missing, "other": other} for b in blocks for name, share, missing, other in scanner.identify(b)]
-                counts.append(len(blocks))
+                n, notices_ = scanner.notices(text or "")
+                found = [{"block": b, "license": name, "reduction": round(share, 6), "missing": missing, "other": other} for b, name, share, missing, other in notices_]
+                counts.append(n)
                 names.append(sorted({f["license"] for f in found}))
                 notices.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(notices, to_arrow_type(T.ArrayType(notice)))], ["doc_id", "n_blocks", "licenses", "notices"])

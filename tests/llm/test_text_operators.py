@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convoscore.llm import queries
 from convoscore.llm.html import common_lines, extract, main_text, parse, url_key
-from convoscore.llm.licenses import TEMPLATES, Scanner, blocks_of, scan
+from convoscore.llm.licenses import TEMPLATES, Scanner, blocks_of, license_texts, scan
 from convoscore.llm.lines import line_dedup
 from convoscore.llm.mixing import mix, targets
 from convoscore.llm.pii import feistel, pseudonymise
@@ -352,6 +352,35 @@ def test_scan(spark):
     assert scan(empty(spark)).count() == 0
 
 
+def licenses_in(*texts):
+    scanner = Scanner()
+    return [sorted({n[1] for n in scanner.notices(t)[1]}) for t in texts]
+
+
+def wrapped(text, width=70, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""])
+
+
+@pytest.mark.parametrize("name", sorted(license_texts()))
+def test_whole_texts_are_found_as_themselves(name):
+    text = license_texts()[name]
+    for t in (text, wrapped(text), wrapped(text, 60, " * "), prose(50, 1) + ".\n\n" + text + "\n" + prose(50, 2)):
+        assert name in (got := licenses_in(t)[0]) and {*got} <= {name, "all-rights-reserved"}
+        assert len([n for n in Scanner().notices(t)[1] if n[1] == name]) == 1
+
+
+def test_a_prefix_is_no_whole_text():
+    texts = license_texts()
+    two, three = texts["BSD-2-Clause"], texts["BSD-3-Clause"]
+    listed = "\n".join(f"{k + 1}. {x}" if x.startswith(("Redistributions", "Neither")) else x for k, x in enumerate(["", *three.split("\n\n")]))
+    assert licenses_in(two, three, listed, two.split("\n")[0], texts["MIT"].split("\n")[0]) == [["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], [], []]
+    head = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    headers = [wrapped(head.format(a, b), 70, "# ") for a, b in (("program", "Affero "), ("library", "Lesser "), ("program", ""))]
+    assert licenses_in(*headers) == [["AGPL-3.0"], ["LGPL-3.0"], ["GPL-3.0"]]
+
+
 # --- registration ------------------------------------------------------------------------------------------------
 
 
