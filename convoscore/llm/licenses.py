@@ -197,31 +197,34 @@ class Scanner:
         A wording is confirmed if it lacks no name or version, and no more than TOLERANCE % of its words differ.  A
         notice that lies inside another one (of the same words) is not a second one."""
         out: list[tuple] = []
-        taken: set[str] = set()
         for share, name in self.rank(block):
-            best = None
+            found = []
             for form, names, whole in [*((f, NAMES, False) for f in self.forms[name]), *((f, NAMES - LIST_WORDS, True) for f in [self.texts.get(name)] if f)]:
                 allowed = len(form) * TOLERANCE // 100
                 for x, y in self._stretches(words, begin, end, form, allowed, whole):
                     missing, other = difference(words[x:y], form)
                     if len(missing) <= allowed and len(other) <= allowed and not names & {*missing, *other}:
-                        found = (len(missing) + len(other), -len(form), missing, other, x, y)
-                        best = min(best, found) if best else found
-            if best and not any(name != t and name.split("-")[0] == t.split("-")[0] for t in taken):
-                taken.add(name)
-                out.append((name, share, *best[2:]))
-        return out
+                        found.append((len(missing) + len(other), -len(form), missing, other, x, min(y, x + len(form) - len(missing) + len(other))))
+            if found:
+                out.append((name, share, *min(found)[2:]))
+        # the same words are one notice: that of the longest wording, or of the first of the ranking
+        inside = lambda a, b: b[4] <= a[4] and a[5] <= b[5] and (a[5] - a[4] < b[5] - b[4] or out.index(b) < out.index(a))
+        return [a for a in out if not any(inside(a, b) for b in out if b is not a)]
 
     def _stretches(self, words: list[str], begin: int, end: int, form: list[str], allowed: int, whole: bool) -> list[tuple[int, int]]:
-        """Stretches of the words that touch the block and may be the wording."""
+        """Stretches of the words that touch the block and may be the wording.
+
+        A short wording may begin wherever one of its first words is, as many as it may lack and one more."""
         size = len(form) + allowed
-        if not whole:
-            return [(begin, min(len(words), end + size))]
         low, high = max(0, begin - size), min(len(words), end + size)
         region = words[low:high]
         if len(set(form) - set(region)) > allowed:
             return []
-        found = [(low + x, low + y) for x, y in whole_texts(region, form, allowed)]
+        if whole:
+            found = [(low + x, low + y) for x, y in whole_texts(region, form, allowed)]
+        else:
+            first = set(form[: allowed + 1])
+            found = [(low + x, min(high, low + x + size)) for x, w in enumerate(region) if w in first and len(set(form).difference(region[x : x + size])) <= allowed]
         return [(x, y) for x, y in found if x < end and begin < y]
 
 

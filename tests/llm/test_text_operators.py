@@ -381,6 +381,17 @@ def test_a_prefix_is_no_whole_text():
     assert licenses_in(*headers) == [["AGPL-3.0"], ["LGPL-3.0"], ["GPL-3.0"]]
 
 
+def test_notices_with_the_same_first_words():
+    apache, by, nc, gpl = "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."
+    cc, gpl2 = "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under the GNU General Public License, version 2."
+    pairs = {(nc, apache): ["Apache-2.0", "CC-BY-NC-4.0"], (apache, by): ["Apache-2.0", "CC-BY-4.0"], (gpl, cc): ["CC-BY-4.0", "GPL-3.0"], (by, nc): ["CC-BY-4.0", "CC-BY-NC-4.0"], (gpl, gpl2): ["GPL-2.0", "GPL-3.0"]}
+    for (a, b), want in pairs.items():
+        for mark in ("\n", " "):
+            assert licenses_in(a + mark + b, b + mark + a) == [want, want]
+            assert sorted(n[0] for n in Scanner().identify(a + mark + b)) == want
+    assert licenses_in("This project is licensed under the terms below.\n" + apache, nc, gpl) == [["Apache-2.0"], ["CC-BY-NC-4.0"], ["GPL-3.0"]]
+
+
 # --- registration ------------------------------------------------------------------------------------------------
 
 
