@@ -20,9 +20,25 @@ from convoscore.llm.spm import encode_documents
 LEAST_SCORE = 0.3
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without those that an operator did not keep; Spark sends the ids around only if they are few."""
-    return docs.join(decided.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, ``__row``: the id where no other row has it.
+
+    Of rows that share an id one keeps it; the others, and rows without an id, get numbers above all ids."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 OR doc_id IS NULL").limit(1)
+    if odd.isEmpty():
+        return docs.withColumn("__row", F.col("doc_id"))
+    docs = cut(docs.withColumn("__n", F.monotonically_increasing_id()))
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("__n").alias("__first")).filter("rows > 1 OR doc_id IS NULL")
+    above = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    joined = docs.join(odd.select(F.col("doc_id").alias("__id"), "__first"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = F.col("__first").isNull() | (F.col("doc_id").isNotNull() & (F.col("__n") == F.col("__first")))
+    return joined.withColumn("__row", F.when(own, F.col("doc_id")).otherwise(F.lit(above) + F.col("__n"))).drop("__id", "__first", "__n")
+
+
+def _without(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """``keyed`` without the rows that an operator did not keep; Spark sends the keys around only if they are few."""
+    gone = decided.filter("NOT kept").select(F.col("doc_id").alias("__row"))
+    return keyed.join(gone, "__row", "left_anti").drop("__row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +49,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    keyed = _keyed(docs)
+    return _without(keyed, exact_dedup(keyed, id_col="__row")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five words, similarity 0.8)."""
-    return _without(docs, near_dedup(docs))
+    keyed = _keyed(docs)
+    return _without(keyed, near_dedup(keyed, id_col="__row")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    keyed = _keyed(docs)
+    copies = mix(keyed, id_col="__row").filter("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
+    joined = keyed.join(copies, "__row")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 

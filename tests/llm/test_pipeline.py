@@ -1,7 +1,7 @@
 import corpus_pipeline
 from convoscore.llm.common import table
 
-from .fixtures import DOCS, frame
+from .fixtures import DOCS, frame, prose
 from .test_dedup import brute_exact, brute_near
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,16 @@ def test_stages_stand_odd_rows(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "lang", "source", "ids", "n_tokens"} <= set(got.columns) and got.count() > 100
+
+
+def test_stages_tell_rows_apart_without_ids(spark):
+    one, two, three, four = (prose(120, 900 + k) for k in range(4))
+    texts = [(None, one), (None, one), (None, two), (7, one), (7, three), (8, four), (8, four), (9, prose(120, 77))]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in texts], clash=False)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(7, one), (0, two), (7, three), (8, four), (9, texts[-1][1])])
+    rows = [(None if k % 2 else 5, prose(50, k), "en", "s", 0) for k in range(60)]
+    took = [r.text for r in corpus_pipeline.mixing(spark, frame(spark, rows, clash=False), SF).collect()]
+    assert len(took) == 90 and len({*took}) < 60 + 1 and max(took.count(t) for t in took) == 2 and min(took.count(t) for t in took) == 1
