@@ -159,38 +159,40 @@ def _meet(model, kind: str, cosine: float):
     return meet
 
 
+def _links(classes: DataFrame, count: int, kind: str, cosine: float, sample: int, miss: float) -> DataFrame:
+    """Links among ``count`` classes of vectors of one length."""
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()
+    x = _unit(rows.v.tolist(), kind)
+    width, tables, rotations = plan_tables(count, x.shape[1], cosine, miss)
+    model = classes.sparkSession.sparkContext.broadcast(Tables(learn_rotations(x, rotations), width, tables, cosine))
+    placed = classes.select("rep", "v").mapInArrow(_place(model, kind), "t int, key long, rep long")
+    buckets = placed.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1")
+    g = F.ceil(F.col("m") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), g).cast("int")
+    cells = placed.join(buckets, ["t", "key"]).select("t", "key", "rep", mine.alias("block"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
+    cells = cells.select("t", "key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes, "rep")
+    return cut(cells.groupBy("t", "key", "i", "j").applyInPandas(_meet(model, kind, cosine), "a long, b long, links long"))
+
+
 def vector_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, miss: float = 1e-3) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id (smallest id reachable, itself included), kept.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, nor do vectors of another
-    length than the most frequent one.  Equal vectors are one class with a multiplicity, so copies never meet in a
-    bucket.  The rotations are fitted on ``sample`` vectors, the first by a hash of the id; all vectors are indexed.
+    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of different
+    lengths don't link, and each length has tables of its own.  Equal vectors are one class with a multiplicity, so copies
+    never meet in a bucket.  The rotations are fitted on ``sample`` vectors, the first by a hash of the id; all vectors
+    are indexed.
     """
     spark = vectors.sparkSession
     kind = "<f4" if "float" in dict(vectors.dtypes).get(vector_col, "") else "<f8"
     packed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("e"))
     packed = cut(packed.mapInArrow(_pack(kind), "vec_id long, v binary"))
-    lengths = packed.filter("v IS NOT NULL").groupBy(F.length("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = lengths["size"] if lengths else 0
-    fits = F.length("v") == size
-    classes = cut(packed.filter(fits & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    count = classes.count()
+    every = cut(packed.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     links = spark.createDataFrame([], "a long, b long, links long")
-    if count:
-        rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()
-        x = _unit(rows.v.tolist(), kind)
-        width, tables, rotations = plan_tables(count, x.shape[1], cosine, miss)
-        model = spark.sparkContext.broadcast(Tables(learn_rotations(x, rotations), width, tables, cosine))
-        placed = classes.select("rep", "v").mapInArrow(_place(model, kind), "t int, key long, rep long")
-        buckets = placed.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1")
-        g = F.ceil(F.col("m") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("rep"), g).cast("int")
-        cells = placed.join(buckets, ["t", "key"]).select("t", "key", "rep", mine.alias("block"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
-        cells = cells.select("t", "key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes, "rep")
-        links = cut(cells.groupBy("t", "key", "i", "j").applyInPandas(_meet(model, kind, cosine), "a long, b long, links long"))
+    for size, count in sorted(map(tuple, every.groupBy(F.length("v")).count().filter("count > 1").collect())):
+        links = links.unionByName(_links(every.filter(F.length("v") == size), count, kind, cosine, sample, miss))
     labels = components(links.filter("a != b"))
     degree = links.groupBy("a").agg(F.sum("links").alias("others"))
-    known = classes.select("v", "rep", "n").join(degree, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
+    known = every.select("v", "rep", "n").join(degree, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component"))
     out = packed.join(known, F.col("v") == F.col("w"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

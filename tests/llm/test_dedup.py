@@ -148,6 +148,20 @@ def test_vector_dedup_against_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, r.standard_normal(16).tolist()) for k in range(40)]
+    for d, first in ((8, 100), (32, 200)):  # two equal ones, one in their direction, one apart
+        v = r.standard_normal(d)
+        rows += [(first + 3, v.tolist()), (first, v.tolist()), (first + 1, (2 * v).tolist()), (first + 2, (-v).tolist())]
+    rows += [(300, [1.0, 2.0, 3.0]), (301, [1.0, 2.0, 3.0]), (302, [5.0])]
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), miss=1e-6).collect()}
+    for first in (100, 200):
+        assert got[first] == (2, first, True) and got[first + 1] == got[first + 3] == (2, first, False) and got[first + 2] == (0, first + 2, True)
+    assert got[300] == (1, 300, True) and got[301] == (1, 300, False) and got[302] == (0, 302, True)
+    assert len(got) == len(rows)
+
+
 def test_vector_dedup_of_nothing(spark):
     assert vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
