@@ -3,7 +3,7 @@
 Values are found by one pattern, validated (Luhn, mod 97, octets, calendar, area numbers) and permuted by a keyed Feistel
 network within their format: a card stays a card with a right check digit, a date a date in its notation.  The permutation
 depends on the key, the kind and the length only, so equal values get equal pseudonyms in every document, and two values
-never share one.  E-mail addresses and secrets get keyed digests of their form.  What does not validate stays as it is.
+never share one, but for dates with the month first, whose pseudonyms may read like another date's with the day first.  E-mail addresses and secrets get keyed digests of their form.  What does not validate stays as it is.
 
 No shuffle, no join: every document is rewritten where it lies.
 """
@@ -19,13 +19,13 @@ ROUNDS = 8
 #: Dates permute among 250 * 292 days from here, to 2099-11-13; others are left alone.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 250, 292
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
+EMAIL = r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}\p{M}0-9._%+-]++@(?:[\p{L}\p{M}0-9-]++\.)+[\p{L}\p{M}]{2,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DMY_DATE = r"(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9])"
+PHONE = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9])|(?<![0-9.+-])(?<![0-9] )(?:[2-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9](?: [0-9]{2}){4})(?! ?[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, CARD, SECRET))
@@ -163,14 +163,19 @@ def _ip(value: Column, key: str) -> Column:
 def _date(value: Column, key: str) -> Column:
     iso = F.substring(value, 5, 1) == "-"
     parts = F.split(value, r"[./]")
-    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0")), "yyyy-MM-dd")
-    )
+
+    def read(day: int, month: int) -> Column:
+        return F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(month)), 2, "0"), F.lpad(F.get(parts, F.lit(day)), 2, "0")), "yyyy-MM-dd")
+
+    # the day first, or else the month; a pseudonym with the month first may read like one with the day first
+    month_first = ~iso & read(0, 1).isNull()
+    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(F.coalesce(read(0, 1), read(1, 0)))
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
     run = feistel(F.floor(n / DAYS_RIGHT), n % DAYS_RIGHT, F.lit(DAYS_LEFT), F.lit(DAYS_RIGHT), key, F.lit("date"))
     new = run(lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_RIGHT + p["r"]).cast("int")))
     mark = F.regexp_extract(value, "[./]", 0)
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    turned = lambda a, b: F.concat_ws("", F.date_format(new, a), mark, F.date_format(new, b), mark, F.date_format(new, "yyyy"))
+    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(month_first, turned("MM", "dd")).otherwise(turned("dd", "MM"))
     return F.when(n.between(0, DAYS_LEFT * DAYS_RIGHT - 1), shown)
 
 
@@ -192,7 +197,7 @@ def pseudonym(value: Column, key: str) -> Column:
         ("ip", value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ip),
         ("date", value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}$"), _date),
         ("ssn", value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn),
-        ("phone", value.rlike(r"^[+(]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$"), _phone),
+        ("phone", value.rlike(r"^[+(]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$|^[0-9]{3} [0-9]{3} [0-9]{4}$|^0[0-9]( [0-9]{2}){4}$"), _phone),
         ("card", value.rlike("^[0-9 -]{13,23}$"), _card),
         ("secret", value.rlike("^[0-9a-fA-F]{32,64}$"), _secret),
     ]

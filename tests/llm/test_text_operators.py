@@ -294,6 +294,16 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_in_common_notations(spark):
+    texts = ["born 12/31/1980, the same as 31.12.1980", "ring 06 12 34 56 78 or 555 123 4567.", "mail josé@example.com and rené.é@bücher.example", "rows 1 555 123 4567 8 and 13/32/1980"]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [(r.n_date, r.n_phone, r.n_email, r.n_replaced) for r in got] == [(2, 0, 0, 2), (0, 2, 0, 2), (0, 0, 2, 2), (0, 0, 0, 0)]
+    us, eu = re.findall(r"\d\d[/.]\d\d[/.]\d{4}", got[0].text)
+    assert us.split("/") == [eu.split(".")[k] for k in (1, 0, 2)] and us != "12/31/1980"
+    assert re.fullmatch(r"ring \d\d( \d\d){4} or \d{3} \d{3} \d{4}\.", got[1].text) and got[1].text != texts[1]
+    assert "josé" not in got[2].text and "rené" not in got[2].text and got[3].text == texts[3]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(37 * 41).select(F.floor(F.col("id") / 41).alias("a"), (F.col("id") % 41).alias("b"))
     run = feistel(F.col("a"), F.col("b"), F.lit(37), F.lit(41), "k", F.lit("t"))
