@@ -1 +1,8 @@
-"""Quality analytics over recorded conversations, as DataFrame transformations."""
+"""Spark-native analytics over recorded conversations.  Functions that run on executors are pickled by value, so that a
+cluster needs no copy of the package on its workers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .arrays import scan
+
 #: Latin letters that look like Cyrillic ones, folded onto those.
 HOMOGLYPHS = str.maketrans("aeopcyx", "аеорсух")
 _PUNCTUATION = re.compile(r"[^\w\s]")
@@ -92,11 +94,7 @@ def total_occurrences(text: Column, needles: list[str]) -> Column:
 def all_offsets(low: Column, needle: str) -> Column:
     """Offsets of the non-overlapping occurrences, in order: lengths of the parts between them, summed up."""
     parts = F.split(low, re.escape(needle), -1)
-    run = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1), F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("pos")),
-        lambda acc, part: F.struct(F.concat(acc["at"], F.array(acc["pos"] + F.length(part))).alias("at"), (acc["pos"] + F.length(part) + len(needle)).alias("pos")),
-    )
-    return run["at"]
+    return scan(F.slice(parts, 1, F.size(parts) - 1), F.lit(0), "int", lambda pos, part: (F.array(pos + F.length(part)), pos + F.length(part) + len(needle)))
 
 
 def count_outside(low: Column, words: list[str], mandated: list[str]) -> Column:

@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import scan
 from ..functions.spans import NUMBER_CATEGORIES, detect_spans, merge_spans
 from ..functions.text import first_offset, occurrences, quote, total_occurrences
 from .checks import first_words, forbidden_hits
 
 TIME_RANGE = "array<struct<start:double,end:double,category:string>>"
+#: Characters between two entries of the index from characters to words.
+CHARS = 64
 
 
 # --- gates -------------------------------------------------------------------------------------------------------
 
 
 def conversation_gate(duration: Column, volume: Column, min_seconds: float = 8.0, floor_db: float = -50.0) -> Column:
-    """STRUCT<is_conversation, reason>: too short, or silent; an unknown volume passes."""
-    reason = F.when(duration < min_seconds, "too short").when(volume < floor_db, "silent")
+    """STRUCT<is_conversation, reason>: unreadable (no duration), too short, or silent; an unknown volume passes."""
+    reason = F.when(duration.isNull(), "unreadable recording").when(duration < min_seconds, "too short").when(volume < floor_db, "silent")
     return F.struct(reason.isNull().alias("is_conversation"), reason.alias("reason"))
 
 
-def gates(calls: DataFrame, recordings: DataFrame, min_probability: float = 0.3) -> DataFrame:
-    """run_status (completed, skipped, blocked) and hold_reason per call: the first gate that closes, in phase order."""
+def gates(calls: DataFrame, recordings: DataFrame | None = None, min_probability: float = 0.3) -> DataFrame:
+    """run_status (completed, skipped, blocked) and hold_reason for every call: the first gate that closes, in phase order.
+
+    A call without a recording (or with a null channel count) is skipped, never lost.  Without ``recordings`` the calls
+    carry its columns themselves, which saves a join."""
     p = F.coalesce(mean_probability(F.col("words")), F.lit(0.0))
-    joined = calls.join(recordings.select("call_id", "channels", "duration_seconds", "mean_volume_db"), "call_id")
+    if recordings is not None:
+        about = recordings.groupBy("call_id").agg(F.min(F.struct("channels", "duration_seconds", "mean_volume_db")).alias("__r")).select("call_id", "__r.*")
+        calls = calls.join(about, "call_id", "left")
     gate = conversation_gate(F.col("duration_seconds"), F.col("mean_volume_db"))
     held = F.when(p < min_probability, "low word probability").when(F.size("words") == 0, "empty transcript").when(F.col("agent_channel").isNull(), "agent unidentifiable")
-    skipped = ~gate["is_conversation"]
-    return joined.withColumns({"run_status": F.when(skipped, "skipped").when(held.isNotNull(), "blocked").otherwise("completed"), "hold_reason": F.when(skipped, gate["reason"]).otherwise(held)})
+    reason = F.when(F.col("channels").isNull(), "no recording").otherwise(gate["reason"])
+    return calls.withColumns({"run_status": F.when(reason.isNotNull(), "skipped").when(held.isNotNull(), "blocked").otherwise("completed"), "hold_reason": F.coalesce(reason, held)})
 
 
 def mean_probability(words: Column) -> Column:
@@ -68,22 +76,30 @@ def channel_rows(calls: DataFrame) -> DataFrame:
 def time_ranges(text_spans: Column, words: Column, pad: float = 0.25) -> Column:
     """Masked time ranges of character spans over the concatenated words: whole segments for number categories, the
     words themselves otherwise, padded, floored at 0 and merged."""
-    begin = F.struct(F.array().cast("array<struct<lo:int,hi:int,w:struct<start:double,end:double,seg_start:double,seg_end:double>>>").alias("out"), F.lit(0).alias("pos"))
-
-    def place(acc: Column, w: Column) -> Column:
-        end = acc["pos"] + F.length(w["word"])
-        kept = F.struct(*(F.coalesce(w[a], w[b]).alias(a) for a, b in (("start", "start"), ("end", "end"), ("seg_start", "start"), ("seg_end", "end"))))
-        return F.struct(F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("lo"), end.alias("hi"), kept.alias("w")))).alias("out"), end.alias("pos"))
-
-    placed = F.aggregate(words, begin, place)["out"]
-
-    def one(s: Column) -> Column:
-        hit = F.filter(placed, lambda p: (p["lo"] < s["end"]) & (p["hi"] > s["start"]))
-        first, last, number = F.get(hit, 0)["w"], F.element_at(hit, -1)["w"], s["category"].isin(*NUMBER_CATEGORIES)
+    def step(pos: Column, w: Column) -> tuple[Column, Column]:
+        end = pos + F.length(w["word"])
+        kept = (F.coalesce(w[a], w[b]).alias(a) for a, b in (("start", "start"), ("end", "end"), ("seg_start", "start"), ("seg_end", "end")))
+        return F.array(F.struct(pos.alias("lo"), end.alias("hi"), *kept)), end
+
+    placed = scan(words, F.lit(0), "struct<lo:int,hi:int,start:double,end:double,seg_start:double,seg_end:double>", step)
+    # The word of every CHARS-th character, so that a span looks at the words around it only.
+    over = lambda p: F.sequence(F.ceil(p["lo"] / CHARS).cast("int"), F.ceil(p["hi"] / CHARS).cast("int") - 1)
+    marks = F.flatten(F.transform(placed, lambda p, i: F.when(F.ceil(p["lo"] / CHARS) < F.ceil(p["hi"] / CHARS), F.transform(over(p), lambda _: i)).otherwise(F.array().cast("array<int>"))))
+    indexed = F.struct(placed.alias("words"), marks.alias("marks"))
+
+    def one(s: Column, ix: Column) -> Column:
+        first, stop = F.get(ix["marks"], F.floor(s["start"] / CHARS).cast("int")), F.get(ix["marks"], F.ceil(s["end"] / CHARS).cast("int"))
+        around = F.slice(ix["words"], first + 1, F.coalesce(stop, F.size(ix["words"]) - 1) - first + 1)
+        return F.struct(s.alias("s"), F.coalesce(F.filter(around, lambda p: (p["lo"] < s["end"]) & (p["hi"] > s["start"])), F.array()).alias("hit"))
+
+    def ranged(x: Column) -> Column:
+        first, last, number = F.get(x["hit"], 0), F.element_at(x["hit"], -1), x["s"]["category"].isin(*NUMBER_CATEGORIES)
         start, end = F.when(number, first["seg_start"]).otherwise(first["start"]) - pad, F.when(number, last["seg_end"]).otherwise(last["end"]) + pad
-        return F.when(F.size(hit) > 0, F.struct(F.greatest(F.lit(0.0), start).alias("start"), F.greatest(F.lit(0.0), end).alias("end"), s["category"].alias("category")))
+        return F.struct(F.greatest(F.lit(0.0), start).alias("start"), F.greatest(F.lit(0.0), end).alias("end"), x["s"]["category"].alias("category"))
 
-    return merge_spans(F.filter(F.transform(text_spans, one), lambda r: r.isNotNull()), TIME_RANGE)
+    # an array of one, so that the index is made once
+    found = F.flatten(F.transform(F.array(indexed), lambda ix: F.transform(F.filter(F.transform(text_spans, lambda s: one(s, ix)), lambda x: F.size(x["hit"]) > 0), ranged)))
+    return merge_spans(found, TIME_RANGE)
 
 
 def redact_calls(words: DataFrame, lang: dict, agent_channel: str = "left", entities=None) -> DataFrame:

@@ -12,38 +12,29 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import parse_json_object
 
 SPANS = "array<struct<start:int,end:int,category:string>>"
 
 
-def windows(text: str, size: int = 600, overlap: int = 150) -> list[tuple[int, str]]:
-    """(start, part) of at most ``size`` characters that overlap; a window ends at a space of its latter half if there
-    is one, so there are about twice as many windows as the text needs at most, and every character is in one."""
-    if len(text) <= size:
-        return [(0, text)]
-    out, start = [], 0
-    while True:
-        end = min(start + size, len(text))
-        if end < len(text):
-            space = text.rfind(" ", start + size // 2, end)
-            end = space if space > start else end
-        out.append((start, text[start:end]))
-        if end >= len(text):
-            return out
-        start = max(start + 1, end - overlap)
-
-
 def text_windows(text: Column, size: int = 600, overlap: int = 150) -> Column:
-    """ARRAY<STRUCT<start, part>> of overlapping windows, for models with a bounded input."""
+    """ARRAY<STRUCT<start, part>> of windows of at most ``size`` characters, for models with a bounded input.
+
+    Windows begin on a grid.  One that is not the last gives up its last word, which may be cut, if a space is among its
+    last ``overlap`` characters; the grid is so narrow that it still shares ``overlap`` characters with the next one."""
+    step = size - 2 * overlap
+    if step < 1:
+        raise ValueError("a window must be longer than two overlaps")
+    text = F.coalesce(text, F.lit(""))
+    more = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
 
-    @F.pandas_udf(ArrayType(StructType().add("start", "integer").add("part", StringType())))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": s, "part": p} for s, p in windows(t or "", size, overlap)])
+    def window(k: Column) -> Column:
+        whole = F.substring(text, k * step + 1, F.lit(size))
+        word = F.instr(F.reverse(F.substring(whole, F.lit(size - overlap + 1), F.lit(overlap))), " ")
+        return F.struct((k * step).alias("start"), F.when(k < more, F.substring(whole, F.lit(1), size - word)).otherwise(whole).alias("part"))
 
-    return cut(text)
+    return F.transform(F.sequence(F.lit(0), more), window)
 
 
 def entity_provider(load: Callable[[], Callable[[str], list[tuple[int, int, str]]]], size: int = 600, overlap: int = 150) -> Callable[[Column], Column]:
@@ -53,10 +44,11 @@ def entity_provider(load: Callable[[], Callable[[str], list[tuple[int, int, str]
         @F.pandas_udf(SPANS)
         def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
-            for texts in batches:
-                yield texts.map(lambda t: [{"start": a, "end": b, "category": c} for a, b, c in sorted({(s + a, s + b, c) for s, part in windows(t or "", size, overlap) for a, b, c in model(part)})])
+            for rows in batches:
+                found = ({(w["start"] + a, w["start"] + b, c) for w in windows for a, b, c in model(w["part"])} for windows in rows)
+                yield pd.Series([[{"start": a, "end": b, "category": c} for a, b, c in sorted(x)] for x in found])
 
-        return spans(text)
+        return spans(text_windows(text, size, overlap))
 
     return recognise
 

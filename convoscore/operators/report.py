@@ -118,18 +118,19 @@ def dialogue(calls: DataFrame) -> DataFrame:
     """turns(call_id, mono, turn_ix, role, start, text): words of both sides by start time (the agent first among equals),
     consecutive words of a role joined.  With one side only, a single block of it.
 
-    A call is one row, so this is an array fold, not a shuffle."""
+    A call is one row, so this is an array expression, not a shuffle: a turn is a slice between two changes of role."""
     words = F.array_sort(F.transform("words", lambda w: F.struct(w["start"].alias("start"), F.when(w["channel"] == F.col("agent_channel"), 0).otherwise(1).alias("role"), w["word_ix"].alias("ix"), F.trim(w["word"]).alias("word"))))
-    empty = F.array().cast("array<struct<role:int,start:double,text:string>>")
-
-    def add(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.struct(w["role"].alias("role"), w["start"].alias("start"), w["word"].alias("text"))
-        more = F.struct(last["role"].alias("role"), last["start"].alias("start"), F.concat_ws(" ", last["text"], w["word"]).alias("text"))
-        return F.when(F.size(acc) == 0, F.array(fresh)).when(last["role"] == w["role"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).otherwise(F.concat(acc, F.array(fresh)))
-
     both = F.col("agent_channel").isNotNull() & F.col("customer_channel").isNotNull()
     single = F.coalesce(F.nullif("agent_text", F.lit("")), F.nullif("customer_text", F.lit("")))
     block = F.when(single.isNotNull(), F.array(F.struct(F.lit("mono").alias("role"), F.lit(0.0).alias("start"), F.trim(single).alias("text"))))
-    turns = F.transform(F.filter(F.aggregate(words, empty, add), lambda t: t["text"] != ""), lambda t: F.struct(F.when(t["role"] == 0, "agent").otherwise("customer").alias("role"), t["start"].alias("start"), t["text"].alias("text")))
-    return calls.select("call_id", (~both).alias("mono"), F.posexplode(F.when(both, turns).otherwise(block)).alias("turn_ix", "t")).select("call_id", "mono", "turn_ix", "t.*")
+    df = calls.select("call_id", both.alias("both"), block.alias("block"), words.alias("ws"))
+    places = F.transform("ws", lambda w, i: F.when((i == 0) | (w["role"] != F.get("ws", i - 1)["role"]), i))
+    df = df.withColumn("changes", F.array_compact(places))
+
+    def turn(at: Column, k: Column) -> Column:
+        first = F.get("ws", at)
+        own = F.slice("ws", at + 1, F.coalesce(F.get("changes", k + 1), F.size("ws")) - at)
+        return F.struct(F.when(first["role"] == 0, "agent").otherwise("customer").alias("role"), first["start"].alias("start"), F.array_join(F.transform(own, lambda w: w["word"]), " ").alias("text"))
+
+    turns = F.filter(F.transform("changes", turn), lambda t: t["text"] != "")
+    return df.select("call_id", (~F.col("both")).alias("mono"), F.posexplode(F.when(F.col("both"), turns).otherwise(F.col("block"))).alias("turn_ix", "t")).select("call_id", "mono", "turn_ix", "t.*")

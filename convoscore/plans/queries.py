@@ -475,8 +475,8 @@ def report_summary(spark, sf_dir):
     return R.report_summary(checklist_of(spark, sf_dir), _P)
 
 
-GATES = f"""gt AS (SELECT calls.*, (agent_text <> '')::INT + (customer_text <> '')::INT AS channels, CASE WHEN call_id % 9 <> 0 THEN -20.0 - call_id % 40 END AS volume, coalesce(p, 0) AS p FROM calls LEFT JOIN (SELECT call_id, avg(probability) AS p FROM words GROUP BY call_id) USING (call_id)),
-  gs AS (SELECT *, CASE WHEN duration < 8 THEN 'too short' WHEN volume < -50 THEN 'silent' END AS skip, CASE WHEN p < 0.3 THEN 'low word probability' WHEN duration = 0 THEN 'empty transcript' WHEN agent_text = '' THEN 'agent unidentifiable' END AS hold FROM gt),
+GATES = f"""gt AS (SELECT calls.*, CASE WHEN call_id % 23 <> 0 THEN (agent_text <> '')::INT + (customer_text <> '')::INT END AS channels, CASE WHEN call_id % 19 <> 0 THEN duration END AS seconds, CASE WHEN call_id % 9 <> 0 THEN -20.0 - call_id % 40 END AS volume, coalesce(p, 0) AS p FROM calls LEFT JOIN (SELECT call_id, avg(probability) AS p FROM words GROUP BY call_id) USING (call_id)),
+  gs AS (SELECT *, CASE WHEN channels IS NULL THEN 'no recording' WHEN seconds IS NULL THEN 'unreadable recording' WHEN seconds < 8 THEN 'too short' WHEN volume < -50 THEN 'silent' END AS skip, CASE WHEN p < 0.3 THEN 'low word probability' WHEN duration = 0 THEN 'empty transcript' WHEN agent_text = '' THEN 'agent unidentifiable' END AS hold FROM gt),
   ga AS (SELECT call_id, duration, channels, CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN hold IS NOT NULL THEN 'blocked' ELSE 'completed' END AS run_status, coalesce(skip, hold) AS hold_reason FROM gs)"""
 
 
@@ -495,9 +495,10 @@ def report_disposition(spark, sf_dir):
 
 
 def _header(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    calls = calls_of(spark, sf_dir)
+    """Header and checklist out of one frame: a call's rows are read once, its checklist travels as an array."""
+    calls = C.gates(A.with_recording(calls_of(spark, sf_dir)))
     checklist = run_rubric(calls, PROFILE.rubric, PROFILE.mandated_regions)
-    gated = C.gates(calls, A.recordings(calls)).select("call_id", "duration", "run_status", "hold_reason")
+    gated = calls.select("call_id", "duration", "run_status", "hold_reason")
     return R.report_header(gated, checklist), checklist
 
 
@@ -616,9 +617,13 @@ def adherence_score(spark, sf_dir):
 # --- providers, state, extensions --------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH w AS (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 600) / 300)) AS BIGINT) + 1)) AS ix, CAST(greatest(0, ceil((length(text) - 600) / 300)) AS BIGINT) AS more FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    p AS (SELECT doc_id, ix, more, substr(text, ix * 300 + 1, 600) AS part FROM w)
+    SELECT doc_id, CAST(ix AS INT) AS ix, CAST(ix * 300 AS INT) AS start, CAST(CASE WHEN ix < more THEN 600 - instr(reverse(substr(part, 451, 150)), ' ') ELSE length(part) END AS INT) AS size FROM p"""
+)
 def near_windows(spark, sf_dir):
-    """Overlapping text windows of documents (held against a plain model in the tests)."""
+    """Overlapping text windows of documents."""
     from ..operators.providers import text_windows
 
     return A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_windows(F.col("text"))).alias("ix", "w")).select("doc_id", "ix", F.col("w.start").alias("start"), F.length("w.part").alias("size"))
@@ -644,20 +649,22 @@ def strict_coercions(spark, sf_dir):
 _RUNS = "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id % 5 = 0 END AS held, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'masked/' || doc_id END AS compliant_path FROM documents"
 
 
+def _runs(spark, sf_dir):
+    return spark.sql(_RUNS.replace("FROM documents", "FROM {documents}"), documents=A.table(spark, sf_dir, "documents"))
+
+
 @query(f"WITH r AS ({_RUNS}) SELECT doc_id, compliant_path FROM r WHERE held = false AND compliant_path <> ''")
 def retire_candidates(spark, sf_dir):
     from ..sources.landing import retire_candidates as candidates
 
-    A.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    return candidates(spark.sql(_RUNS)).select("doc_id", "compliant_path")
+    return candidates(_runs(spark, sf_dir)).select("doc_id", "compliant_path")
 
 
 @query(f"WITH r AS ({_RUNS}) SELECT CASE WHEN held = false AND compliant_path <> '' THEN 'retired' ELSE 'kept' END AS outcome, count(*) AS runs FROM r GROUP BY 1")
 def retire_counts(spark, sf_dir):
     from ..sources.landing import retire_counts as counts
 
-    A.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    return counts(spark.sql(_RUNS))
+    return counts(_runs(spark, sf_dir))
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0) GROUP BY text")

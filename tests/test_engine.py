@@ -245,18 +245,26 @@ def test_shipped_workflows(spark):
 # --- providers ---------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("text", ["", "short", "x" * 2000, "ab " * 700, "a " + "y" * 1500, "word " * 119 + "Maximilian " + "word " * 200])
-def test_windows(text):
-    got = P.windows(text)
-    covered = set()
-    for start, part in got:
-        assert len(part) <= 600 and text[start : start + len(part)] == part
-        covered |= set(range(start, start + len(part)))
-    assert len(covered) == len(text) and all(a[0] < b[0] for a, b in zip(got, got[1:], strict=False)) and len(got) <= 2 + 2 * len(text) // 150
+def test_text_windows(spark):
+    """Against a plain model: every character is in a window, neighbours share 150, no word of 150 letters at most is cut
+    at the end of each window that holds it."""
+    texts = ["", "short", "x" * 2000, "ab " * 700, "a " + "y" * 1500, "word " * 119 + "Maximilian " + "word " * 200, "é" * 601, "z" * 600]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.text_windows(F.col("t")).alias("w")).collect()
+    for row in rows:
+        got = [(w.start, w.part) for w in row.w]
+        assert all(len(part) <= 600 and row.t[start : start + len(part)] == part for start, part in got)
+        assert got[0][0] == 0 and got[-1][0] + len(got[-1][1]) == len(row.t)
+        assert all(a[0] < b[0] <= a[0] + len(a[1]) - 150 for a, b in zip(got, got[1:], strict=False))
+        for m in re.finditer(r"\S{1,150}(?!\S)", row.t):
+            if m.start() == 0 or row.t[m.start() - 1] == " ":
+                assert any(s <= m.start() and m.end() <= s + len(part) for s, part in got)
+    assert one(spark, P.text_windows(F.lit(None).cast("string")))[0].part == ""
+    with pytest.raises(ValueError):
+        P.text_windows(F.lit("a"), 300, 150)
 
 
 def test_entity_provider(spark):
-    recognise = P.entity_provider(lambda: lambda t: [(m.start(), m.end(), "NER_PER") for m in re.finditer("Ann", t)], 20, 8)
+    recognise = P.entity_provider(lambda: lambda t: [(m.start(), m.end(), "NER_PER") for m in re.finditer("Ann", t)], 24, 8)
     text = "hello there Ann and also Ann, then Ann again"
     assert found(spark, recognise(F.col("text")), text) == [(m.start(), m.end(), "NER_PER") for m in re.finditer("Ann", text)]
 
