@@ -1,10 +1,11 @@
 """Embedding near-dedup by iterative quantisation.
 
 Rotations are learnt so that the signs of the rotated unit vectors lose as little as possible (ITQ); a code's substrings
-are the keys of multi-index tables.  Vectors that share a table's bucket are filtered by the Hamming distance of their
-codes and reranked by the cosine of the original vectors, inside the bucket: links are counted and linked there, and no
-pair leaves it.  A pair counts in the first table that brings it together.  Buckets are cut into blocks, and each block
-meets each other once, so that a bucket with a third of all rows is many tasks.
+are the keys of multi-index tables.  Only codes travel to the tables' buckets: there, vectors whose codes are near by
+Hamming distance are told from the rest, many buckets at a time.  The original vectors follow for those alone, and are
+reranked by cosine in their buckets: links are counted and linked there, and no pair leaves a bucket.  A pair counts in
+the first table that brings it together.  Buckets are cut into blocks, and each block meets each other once, so that a
+bucket with a third of all rows is many tasks.
 
 Substrings get longer with the number of vectors, and tables more, so that buckets stay small and the chance to miss a
 pair at the limit stays below ``miss``.  Vectors are not centred: around a dense cluster that would turn small angles
@@ -14,14 +15,20 @@ into large ones.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, n_shuffle
 from .components import components
 
+#: Vectors of one bucket that meet in one block.
 BLOCK = 512
+#: Bits of the codes that travel, in whole rotations.
+CODE_BITS = 256
+#: Rows that are compared at a time, and whole cells beyond that.
+ROWS = 4096
 
 
 def learn_rotations(x, count: int, steps: int = 25, seed: int = 11):
@@ -44,16 +51,24 @@ class Tables:
     """Keys and codes of vectors: substrings of ``width`` bits of the codes, ``tables`` of them over all rotations."""
 
     def __init__(self, rotations, width: int, tables: int, cosine: float):
+        import numpy as np
+
         self.rotations, self.width, self.tables = rotations, width, tables
+        self.all = np.concatenate(list(rotations), 1)
+        self.coded = min(rotations.shape[0], math.ceil(CODE_BITS / rotations.shape[1])) * rotations.shape[1]
         flip = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-        self.bits = bits = rotations.shape[0] * rotations.shape[1]
-        #: Bits that may differ: five standard deviations above what is expected at the limit.
-        self.far = bits * flip + 5 * math.sqrt(bits * flip * (1 - flip))
+        #: Bits of a code that may differ: five standard deviations above what is expected at the limit.
+        self.far = self.coded * flip + 5 * math.sqrt(self.coded * flip * (1 - flip))
 
     def signs(self, x):
+        return x @ self.all >= 0
+
+    def codes(self, signs):
+        """The first bits of ``signs`` as rows of 64-bit words."""
         import numpy as np
 
-        return np.concatenate([x @ r >= 0 for r in self.rotations], 1)
+        packed = np.packbits(signs[:, : self.coded], axis=1)
+        return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
 
     def keys(self, signs):
         """One number for each vector and table."""
@@ -102,59 +117,140 @@ def _pack(kind: str):
     return pack
 
 
+def _binary(rows):
+    """A column of binary values out of an array of bytes, a row each."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = rows.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _place(model, kind: str):
+    """A row for each vector and table: the table's key, and the code."""
+
     def place(batches):
         import numpy as np
         import pyarrow as pa
 
         tables: Tables = model.value
-        for batch in batches:
-            if batch.num_rows:
-                keys = tables.keys(tables.signs(_unit(batch.column(1).to_pylist(), kind)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                signs = tables.signs(_unit(batch.column(1).to_pylist(), kind))
+                codes = np.repeat(tables.codes(signs).view(np.uint8), tables.tables, 0)
                 ids = np.repeat(batch.column(0).to_numpy(), tables.tables)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables.tables, dtype=np.int32), len(keys))), pa.array(keys.ravel()), pa.array(ids)], ["t", "key", "rep"])
+                t = np.tile(np.arange(tables.tables, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(tables.keys(signs).ravel()), pa.array(ids), _binary(codes)], ["t", "key", "rep", "code"])
 
     return place
 
 
+_CELL = ("t", "key", "i", "j")
+
+
+def _whole_cells(batches):
+    """(table, begin of each row's cell, end of it) with whole cells only, out of sorted batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            if held.num_rows < ROWS:
+                continue
+        if held is None or not held.num_rows:
+            continue
+        held = held.combine_chunks()
+        cell = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+        begins = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1])
+        last = 0
+        while last < len(begins):  # as many cells as fill ROWS, one at least
+            stop = max(last + 1, int(np.searchsorted(begins, begins[last] + ROWS, "right")) - 1)
+            if stop >= len(begins):
+                if batch is not None:
+                    break
+                stop = len(begins)
+            low, high = begins[last], begins[stop] if stop < len(begins) else held.num_rows
+            sizes = np.diff(np.append(begins[last:stop], high))
+            first = np.repeat(begins[last:stop] - low, sizes)
+            yield held.slice(low, high - low), first, first + np.repeat(sizes, sizes)
+            last = stop
+        held = held.slice(begins[last]) if last < len(begins) else None
+
+
+def _near_pairs(codes, block, ends, far: float):
+    """Index pairs of rows of one cell whose codes are near; in a cell of two blocks, those of different blocks.
+
+    Goes by the distance of the rows: all rows with their next, next but one, and so on."""
+    import numpy as np
+
+    begins = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+    two = np.zeros(len(block), bool)  # whether the row's cell has two blocks
+    for low, high in zip(begins, ends[begins], strict=True):
+        two[low:high] = block[low] != block[high - 1]
+    a, left, right = np.arange(len(block)), [], []
+    for k in range(1, len(block)):
+        a = a[a + k < ends[a]]
+        if not len(a):
+            break
+        some = a[~two[a] | (block[a] != block[a + k])]
+        some = some[np.bitwise_count(codes[some] ^ codes[some + k]).sum(1, dtype=np.int32) <= far]
+        left.append(some)
+        right.append(some + k)
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+
+
+def _sift(model):
+    """The rows of a cell that are near another one of it, by their codes."""
+
+    def sift(batches):
+        import numpy as np
+
+        for table, _, ends in _whole_cells(batches):
+            codes = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            a, b = _near_pairs(codes, table.column(4).to_numpy(), ends, model.value.far)
+            if len(a):
+                yield from table.select([0, 1, 2, 3, 4, 5]).take(np.union1d(a, b)).to_batches()
+
+    return sift
+
+
 def _meet(model, kind: str, cosine: float):
-    """A cell of a bucket: the block itself, or two blocks against each other."""
+    """Links inside cells: for each row how many, and the smallest row that it is linked with there."""
 
-    def meet(pdf):
+    def meet(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         tables: Tables = model.value
-        t, own = int(pdf.t.iloc[0]), bool(pdf.i.iloc[0] == pdf.j.iloc[0])
-        pdf = pdf.sort_values(["block", "rep"])
-        x, block, ids, n = _unit(pdf.v.tolist(), kind), pdf.block.to_numpy(), pdf.rep.to_numpy(), pdf.n.to_numpy()
-        split = len(x) if own else int((block == block[0]).sum())
-        left, right = slice(0, split), slice(0 if own else split, len(x))
-        signs = tables.signs(x)
-        code = np.packbits(signs, axis=1)
-        code = np.pad(code, ((0, 0), (0, -code.shape[1] % 8))).view(np.uint64)
-        far = sum(np.bitwise_count(code[left, None, k] ^ code[None, right, k]).astype(np.int32) for k in range(code.shape[1]))
-        found = (far <= tables.far) & (x[left] @ x[right].T >= cosine)
-        if own:
-            found = np.triu(found, 1)
-        a, b = np.nonzero(found)
-        b = b + right.start
-        if t and len(a):
-            keys = tables.keys(signs)[:, :t]
-            fresh = np.concatenate([~(keys[a[k : k + 65536]] == keys[b[k : k + 65536]]).any(1) for k in range(0, len(a), 65536)])
-            a, b = a[fresh], b[fresh]
-        links = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
-        root = np.arange(len(x))
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (before == root).all():
-                break
-        some = np.flatnonzero(links > 0)
-        return pd.DataFrame({"a": ids[some], "b": ids[root[some]], "links": links[some].astype(np.int64)})
+        for table, _, ends in _whole_cells(batches):
+            x, ids, n, t = _unit(table.column(6).to_pylist(), kind), table.column(5).to_numpy(), table.column(7).to_numpy(), table.column(0).to_numpy()
+            signs = tables.signs(x)
+            a, b = _near_pairs(tables.codes(signs), table.column(4).to_numpy(), ends, tables.far)
+            keys, keep = tables.keys(signs), []
+            for k in range(0, len(a), 65536):
+                p, q = a[k : k + 65536], b[k : k + 65536]
+                close = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                before = np.arange(tables.tables) < t[p, None]  # an earlier table has brought them together
+                keep.append(close & ~((keys[p] == keys[q]) & before).any(1))
+            if not keep or not (keep := np.concatenate(keep)).any():
+                continue
+            a, b = a[keep], b[keep]
+            links = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
+            root = np.arange(len(x))
+            while True:
+                low = np.minimum(root[a], root[b])
+                before = root.copy()
+                np.minimum.at(root, a, low)
+                np.minimum.at(root, b, low)
+                root = root[root]
+                if (before == root).all():
+                    break
+            some = np.flatnonzero(links > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
 
     return meet
 
@@ -164,21 +260,32 @@ def _links(classes: DataFrame, count: int, kind: str, cosine: float, sample: int
     rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()
     x = _unit(rows.v.tolist(), kind)
     width, tables, rotations = plan_tables(count, x.shape[1], cosine, miss)
-    model = classes.sparkSession.sparkContext.broadcast(Tables(learn_rotations(x, rotations), width, tables, cosine))
-    placed = classes.select("rep", "v").mapInArrow(_place(model, kind), "t int, key long, rep long")
-    buckets = placed.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    g = F.ceil(F.col("m") / BLOCK).cast("int")
+    spark = classes.sparkSession
+    model = spark.sparkContext.broadcast(Tables(learn_rotations(x, rotations), width, tables, cosine))
+    placed = classes.select("rep", "v").mapInArrow(_place(model, kind), "t int, key long, rep long, code binary")
+    # Only buckets of more than a block are named: a row for at least BLOCK placed ones.
+    large = placed.groupBy("t", "key").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select(F.col("t").alias("l_t"), F.col("key").alias("l_key"), F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    g = F.coalesce("g", F.lit(1))
     mine = F.pmod(F.xxhash64("rep"), g).cast("int")
-    cells = placed.join(buckets, ["t", "key"]).select("t", "key", "rep", mine.alias("block"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
-    cells = cells.select("t", "key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes, "rep")
-    return cut(cells.groupBy("t", "key", "i", "j").applyInPandas(_meet(model, kind, cosine), "a long, b long, links long"))
+    cells = placed.join(large, (F.col("t") == F.col("l_t")) & (F.col("key") == F.col("l_key")), "left").select("t", "key", "rep", "code", mine.alias("block"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
+    cells = cells.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "code")
+    place = "t int, key long, i int, j int, block int, rep long"
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(n_shuffle(spark), *_CELL).sortWithinPartitions(*_CELL, "block", "rep")
+
+    near = cut(together(cells).mapInArrow(_sift(model), place))
+    known = near.join(classes, "rep").select("t", "key", "i", "j", "block", "rep", "v", "n")
+    return cut(together(known).mapInArrow(_meet(model, kind, cosine), "a long, b long, links long"))
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, miss: float = 1e-3) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id (smallest id reachable, itself included), kept.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of different
-    lengths don't link, and each length has tables of its own.  Equal vectors are one class with a multiplicity, so copies
+    lengths don't link, and each length has tables of its own.  A row with a null id is linked with what its vector is
+    linked with, but counts for no other row and names no component; rows that repeat an id count each.  Other columns
+    are ignored, and an empty table gives an empty result.  Equal vectors are one class with a multiplicity, so copies
     never meet in a bucket.  The rotations are fitted on ``sample`` vectors, the first by a hash of the id; all vectors
     are indexed.
     """
@@ -195,5 +302,6 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     known = every.select("v", "rep", "n").join(degree, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component"))
     out = packed.join(known, F.col("v") == F.col("w"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    mine = F.when(F.col("n_links").isNotNull(), F.col("n_links") + F.col("vec_id").isNull().cast("int"))
+    out = out.select("vec_id", F.coalesce(mine, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

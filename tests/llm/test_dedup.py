@@ -162,6 +162,35 @@ def test_vectors_of_every_length_are_compared(spark):
     assert len(got) == len(rows)
 
 
+def test_vector_dedup_as_registered(spark):
+    """The registered chance to miss a pair, pairs just above the limit, a cluster of several blocks, columns that clash,
+    null ids and repeated rows: no link below the limit, nearly all above it, whatever the partitions."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = r.standard_normal(base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    crowd = base[0] + 0.04 * r.standard_normal((1200, 32))
+    x = np.concatenate([base, 0.9002 * base + (1 - 0.9002**2) ** 0.5 * other, crowd])
+    rows = [(k, v.tolist(), 1, 2, "c") for k, v in enumerate(x)]
+    rows += [rows[7], rows[7], (None, rows[8][1], 1, 2, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n long, t int, v string")
+    found = []
+    for parts in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(sorted(map(tuple, vector_dedup(df).collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    got = {i: n for i, n, *_ in found[0]}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    want[7] += 2  # the repeated rows
+    mine = np.array([got[k] for k in range(len(x))])
+    assert mine[7] >= 2 and got[None] == mine[8] + 1 and (mine <= want + 2 * (want > 0)).all()
+    assert mine.sum() >= 0.998 * want.sum() and (mine[1500:3000] > 0).mean() >= 0.99
+
+
 def test_vector_dedup_of_nothing(spark):
     assert vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
