@@ -19,21 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one under /tmp only where that is unset (as in tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset, one under /tmp, but only in local mode (as in tests):
+    executors of a cluster would each write to a disk of their own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    return (spark.sparkContext.getCheckpointDir() or "file:///tmp/convoscore-checkpoints").rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/convoscore-checkpoints"
+
+
+#: Folders of ``cut`` that are still there.
+_CUTS: dict[str, tuple[SparkSession, str]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends there, on storage that outlives
-    executors.  Parquet rather than ``checkpoint()``, since it is a fraction of the size on disk and keeps column pruning."""
+    executors.  Parquet rather than ``checkpoint()``, since it is a fraction of the size on disk and keeps column pruning.
+
+    What the result of an operator reads stays until the process ends; ``free`` removes what nothing reads any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _CUTS:
+        atexit.register(lambda: [_remove(*x) for x in _CUTS.values()])
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut = path
+    _CUTS[path] = spark, path
+    return back
+
+
+def free(*frames: DataFrame) -> None:
+    """Removes the files of ``cut`` frames; others are left alone."""
+    for df in frames:
+        if path := getattr(df, "_cut", None):
+            if found := _CUTS.pop(path, None):
+                _remove(*found)
+
+
+def cuts() -> set[str]:
+    """The folders of ``cut`` that are there now."""
+    return set(_CUTS)
+
+
+def free_since(before: set[str], keep: DataFrame) -> None:
+    """Removes all that was ``cut`` since ``before``, except ``keep``: what has been written whole reads nothing else."""
+    for path in cuts() - before - {getattr(keep, "_cut", None)}:
+        _remove(*_CUTS.pop(path))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -45,6 +77,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,14 +108,24 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def id_bitmap(ids: DataFrame, bits: int = 26) -> bytes:
-    """A bitmap of 2 ** bits bits (8 MB by default, whatever the input) with the bit of every id's hash set.
+#: Bitmaps have at most 2 ** MOST_BITS bits (64 MB): the bound of what is sent to every executor.
+MOST_BITS = 29
+
+
+def bits_for(count: int, most: int = MOST_BITS) -> int:
+    """The size of a bitmap for so many marks, as a power of 2: 16 bits a mark, 2 ** ``most`` in all at most.  A bitmap
+    that is too small for its marks lets more rows through, it never holds one back."""
+    return max(12, min(most, (16 * count).bit_length()))
+
 
-    It tells which rows may be among the ids: a full bitmap lets more rows through, it never holds one back."""
+def id_bitmap(ids: DataFrame, most: int = MOST_BITS) -> bytes:
+    """A bitmap with the bit of every id's hash set.  It tells which rows may be among the ids."""
     import zlib
 
     column = ids.columns[0]
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    ids = cut(ids.select(F.xxhash64(column).alias("h")).distinct())
+    bits = bits_for(ids.count(), most)
+    slot = F.shiftrightunsigned("h", 64 - bits)
     owner_bits = max(0, min(bits - 6, 10, (n_shuffle(ids.sparkSession) - 1).bit_length()))
     width = 1 << (bits - owner_bits)
 
@@ -93,6 +143,7 @@ def id_bitmap(ids: DataFrame, bits: int = 26) -> bytes:
     whole = bytearray((1 << bits) // 8)
     for row in slots.groupBy("owner").applyInPandas(own, "owner int, bitmap binary").toLocalIterator():
         whole[row.owner * width // 8 : (row.owner + 1) * width // 8] = zlib.decompress(row.bitmap)
+    free(ids)
     return bytes(whole)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -36,13 +36,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u > v").distinct()
         small = _stars(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.*")
-        state = cut(small.filter("u > v").distinct())
+        before, state = state, cut(small.filter("u > v").distinct())
+        free(before)
     roots = state.select("v").distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
 
 
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after further links: components of the links between labels, carried over to the nodes."""
+    """``labels`` after further links: components of the links between labels, carried over to the nodes.  ``labels`` is
+    not to be read any more after that, if it was ``cut`` and there were links."""
     if links.isEmpty():
         return labels
     here = labels.select(F.col("node"), F.col("label"))
@@ -51,4 +53,6 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     more = cut(components(ends))
     moved = here.join(more.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = more.join(here.select("node"), "node", "left_anti")
-    return cut(moved.unionByName(fresh))
+    out = cut(moved.unionByName(fresh))
+    free(more, labels)
+    return out

@@ -2,9 +2,9 @@
 
 1. Each partition fingerprints its texts (64 bits of SHA-256 of the text without ASCII white space), sorts the
    distinct fingerprints of each owner's range and sends them Golomb-Rice coded, with one bit for each that it holds twice.
-2. Owners decode, find fingerprints held twice in all, and return a duplicate bitmap over the fingerprint range.  All
-   bitmaps together have ``2 ** bitmap_bits`` bits (8 MB by default), whatever the input: that is the bound of what is
-   broadcast.  A full bitmap costs selectivity, never results.
+2. Owners decode, find fingerprints held twice in all, and return a duplicate bitmap over their range: 16 bits for each
+   such fingerprint, 64 MB for all owners at most.  That is the bound of what is broadcast; a bitmap that has to do with
+   less costs selectivity, never results.
 3. Partitions test their fingerprints; only suspects' texts are shuffled, one copy a partition and text, and grouped
    by all of their bytes.  A group that holds a third of all rows is a row a partition by then.
 """
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, n_shuffle, utf8
+from .common import ASCII_SPACE, MOST_BITS, bits_for, cut, free, n_shuffle, utf8
 
 #: Suspects' distinct texts that a task keeps before it passes them on.
 HELD_BYTES = 48 << 20
@@ -88,47 +88,65 @@ def _send(owner_bits: int):
     return send
 
 
-def _own(owner_bits: int, bitmap_bits: int):
-    def own(pdf):
-        import zlib
+def _own(owner_bits: int):
+    """The fingerprints of an owner's range that were held twice, coded again."""
 
+    def own(pdf):
         import numpy as np
         import pandas as pd
 
         held = [golomb_decode(c, n, k) for c, n, k in zip(pdf.code, pdf.n, pdf.k, strict=True)]
         again = [h[np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)).astype(bool)] for h, t in zip(held, pdf.twice, strict=True)]
         found, counts = np.unique(np.concatenate(held), return_counts=True)
-        doubled = np.union1d(found[counts > 1], np.concatenate(again))
-        bits = np.zeros(1 << (bitmap_bits - owner_bits), np.uint8)
-        bits[(doubled >> np.uint64(64 - bitmap_bits)).astype(np.int64)] = 1
-        packed = zlib.compress(np.packbits(bits).tobytes(), 1) if len(doubled) else b""
-        return pd.DataFrame({"owner": [int(pdf.owner.iloc[0])], "bitmap": [packed]})
+        code, n, k = golomb_encode(np.union1d(found[counts > 1], np.concatenate(again)), 64 - owner_bits)
+        return pd.DataFrame({"owner": [int(pdf.owner.iloc[0])], "n": [n], "k": [k], "code": [code]})
 
     return own
 
 
-def duplicate_bitmap(docs: DataFrame, text: str, bitmap_bits: int = 26) -> bytes:
-    """Steps 1 and 2; the bitmap of all owners, of at most 2 ** bitmap_bits bits."""
+def _mark(owner_bits: int, bitmap_bits: int):
+    def mark(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            maps = []
+            for code, n, k in zip(*(batch.column(i).to_pylist() for i in (3, 1, 2)), strict=True):
+                bits = np.zeros(1 << (bitmap_bits - owner_bits), np.uint8)
+                bits[(golomb_decode(code, n, k) >> np.uint64(64 - bitmap_bits)).astype(np.int64)] = 1
+                maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["owner", "bitmap"])
+
+    return mark
+
+
+def duplicate_bitmap(docs: DataFrame, text: str, most_bits: int = MOST_BITS) -> bytes:
+    """Steps 1 and 2; the bitmap of all owners, of at most 2 ** most_bits bits."""
     import zlib
 
-    owner_bits = max(0, min(bitmap_bits - 6, 12, (n_shuffle(docs.sparkSession) - 1).bit_length()))
+    owner_bits = max(0, min(most_bits - 6, 12, (n_shuffle(docs.sparkSession) - 1).bit_length()))
     sent = docs.select(text).mapInArrow(_send(owner_bits), "pid int, owner int, n int, k int, code binary, twice binary")
-    back = sent.groupBy("owner").applyInPandas(_own(owner_bits, bitmap_bits), "owner int, bitmap binary")
+    doubled = cut(sent.groupBy("owner").applyInPandas(_own(owner_bits), "owner int, n int, k int, code binary").filter("n > 0"))
+    bitmap_bits = max(owner_bits + 6, bits_for(doubled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], most_bits))
     width = (1 << (bitmap_bits - owner_bits)) // 8
     whole = bytearray((1 << bitmap_bits) // 8)
-    for row in back.filter(F.length("bitmap") > 0).toLocalIterator():
+    for row in doubled.mapInArrow(_mark(owner_bits, bitmap_bits), "owner int, bitmap binary").toLocalIterator():
         whole[row.owner * width : (row.owner + 1) * width] = zlib.decompress(row.bitmap)
+    free(doubled)
     return bytes(whole)
 
 
 _SIFTED = "is_text boolean, doc_id long, sha binary, n_cp long, body binary, n long"
 
 
-def _sift(bitmap, bitmap_bits: int):
+def _sift(bitmap):
     def sift(batches):
         import pyarrow as pa
 
-        bits, shift = bitmap.value, 64 - bitmap_bits
+        bits = bitmap.value
+        shift = 65 - (8 * len(bits)).bit_length()
         held: dict[bytes, list] = {}
         size = 0
 
@@ -166,7 +184,7 @@ def _sift(bitmap, bitmap_bits: int):
     return sift
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = 26) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; null counts as empty, and empty texts equal each other.
@@ -175,14 +193,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bitmap = spark.sparkContext.broadcast(duplicate_bitmap(docs, "text", bitmap_bits))
-    sifted = cut(docs.mapInArrow(_sift(bitmap, bitmap_bits), _SIFTED))
-    # Grouping by (sha, body) compares all bytes; the order of ids is turned so that max() finds the smallest.
-    verified = sifted.filter("is_text").groupBy("sha", "body").agg(
-        F.sum("n").alias("group_size"), F.max(F.struct("n_cp", (-F.col("doc_id")).alias("minus_id"))).alias("best")
-    )
-    groups = verified.groupBy("sha").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"), F.max("best").alias("best"))
-    groups = groups.select("sha", "group_size", (-F.col("best.minus_id")).alias("keep_id"), F.assert_true(F.col("texts") == 1, "two texts have one SHA-256").alias("sure"))
+    bitmap = spark.sparkContext.broadcast(duplicate_bitmap(docs, "text", most_bits))
+    sifted = cut(docs.mapInArrow(_sift(bitmap), _SIFTED))
+    # Grouping by (sha, body) compares all bytes; (no id) is greater than (some id), so that min() takes null ids last.
+    first = F.min(F.struct((-F.col("n_cp")).alias("minus"), F.col("doc_id").isNull().alias("none"), "doc_id"))
+    verified = sifted.filter("is_text").groupBy("sha", "body").agg(F.sum("n").alias("group_size"), first.alias("best"))
+    groups = verified.groupBy("sha").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"), F.min("best").alias("best"))
+    groups = groups.select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.assert_true(F.col("texts") == 1, "two texts have one SHA-256").alias("sure"))
     return (
         sifted.filter("NOT is_text")
         .select("doc_id", "sha")

@@ -120,17 +120,19 @@ def fit_forest(x, y, trees: int = 60, depth: int = 4, rate: float = 0.15, bins:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, **params) -> Forest:
     """Learn from at most ``max_labels`` labelled rows whose crc32(doc_id) modulo 5 is not 0, the first by a hash of the id.
 
-    Labels other than 0 and 1 are left out; a document labelled twice counts with its larger label.
+    Labels other than 0 and 1, and those without an id, are left out; a document labelled twice counts with its larger
+    label, and of rows that repeat an id one counts (the first by its statistics).  Without labelled rows, as in an empty
+    table, every score is 0.5.
     """
     import numpy as np
 
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
-        .groupBy("doc_id").agg(F.max("quality").alias("__y"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("__y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     )
     # max_labels rows of 12 bytes: the bound of this broadcast.
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("__y", "doc_id", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("__y", "doc_id", "text")
 
     def measure(batches):
         import pyarrow as pa
@@ -139,7 +141,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, **
             x = statistics(utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "doc_id", "x"])
 
-    rows = sample.mapInArrow(measure, "y int, doc_id long, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    measured = sample.mapInArrow(measure, "y int, doc_id long, x array<double>")
+    # one row an id, so that repeated ids don't add to what the driver gets
+    rows = measured.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     x = np.array(rows.x.tolist()).reshape(-1, len(STATISTICS))
     return fit_forest(x, rows.y.to_numpy(float), **params)
 
@@ -147,11 +151,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, **
 def quality_scores(docs: DataFrame, forest: Forest, text_col: str = "text", score_col: str = "score", least: float | None = None) -> DataFrame:
     """``docs`` with one more column, the score of the whole text (null and empty texts get one too).
 
-    With ``least``, only rows that reach it.  Columns that are already there keep their names and values;
-    ``score_col`` must not be among them.
+    With ``least``, only rows that reach it.  Columns that are already there keep their names and values, but one named
+    like ``score_col`` gives way to it.  Rows that repeat are scored each; an empty table gives an empty result.
     """
     from pyspark.sql import types as T
 
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != score_col.lower()))
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at, model = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(forest)
 

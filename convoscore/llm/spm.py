@@ -5,8 +5,8 @@ relaxes the state of that position from the state where the piece begins.
 
 * Unigram vocabularies: plain Viterbi.  The state is the best sum of scores; ties go to the longest last piece.
 * BPE vocabularies (the public one here is one): scores are merge ranks, and the segmentation of highest sum is not what
-  the merges give.  There the state is the last piece of the prefix's encoding, and a piece relaxes a position only if the
-  merges leave the border between it and the piece before alone - exactly one piece does.  The check of such a pair is
+  the merges give.  There a piece relaxes a position only if the merges leave the border between it and the last piece of
+  the best path to where it begins alone, so that the best path is the merges' own.  The check of such a pair is
   remembered.  The ids are then the library's own.
 
 Characters without a piece become byte pieces (or the unknown id).  No piece holds a space mark after another character,
@@ -16,31 +16,33 @@ so texts split before runs of spaces, and the encoding of a unit is remembered i
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Units in each of the two generations that a worker remembers.
-REMEMBERED = 120_000
+#: Units in each of the two generations that a worker remembers; an eighth of that for units that no space comes before.
+REMEMBERED = 100_000
+#: Longer units are not remembered.
+LONGEST = 64
 PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class _Units(dict):
-    """The ids of a unit, remembered in two generations: a full one becomes the old one, and what is asked for again comes
-    back from there, so frequent units stay.  Long ones are not remembered."""
+    """The ids of a unit as packed numbers, remembered in two generations: a full one becomes the old one, and what is
+    asked for again comes back from there, so frequent units stay."""
 
-    def __init__(self, codec: Codec, before: str):
+    def __init__(self, codec: Codec, before: str, most: int):
         super().__init__()
-        self.codec, self.before, self.old = codec, before, {}
+        self.codec, self.before, self.most, self.old = codec, before, most, {}
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
+    def __missing__(self, unit: str) -> bytes:
         found = self.old.pop(unit, None)
         if found is None:
-            found = self.codec._unit(self.before + unit)
-        if len(unit) < 100:
-            if len(self) >= REMEMBERED:
+            found = array(self.codec.kind, self.codec._unit(self.before + unit)).tobytes()
+        if len(unit) <= LONGEST:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[unit] = found
@@ -76,7 +78,8 @@ class Codec:
         #: Whether no piece crosses the border before a run of space marks, or a line feed.
         self.splits = not any(MARK in p.lstrip(MARK) or "\n" in p and p != "\n" for p in self.ids)
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.bare, self.spaced = _Units(self, ""), _Units(self, MARK)
+        self.kind = "H" if n <= 1 << 16 else "I"
+        self.bare, self.spaced = _Units(self, "", REMEMBERED // 8), _Units(self, MARK, REMEMBERED)
         #: What decoding writes for an id: text, or None for a byte.
         self.texts = [None if i in self.byte_of else "" if i in self.silent else " ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
 
@@ -96,7 +99,7 @@ class Codec:
 
     def _fits(self, key: int) -> bool:
         left, right = divmod(key, len(self.pieces))
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= 2 * REMEMBERED:
             self.pairs.clear()
         two = [self.pieces[left], self.pieces[right]] if left < len(self.pieces) else []
         known = self.pairs[key] = not two or self._merge("".join(two)) == two
@@ -105,42 +108,33 @@ class Codec:
     def _segment(self, unit: str) -> list[int]:
         """Ids for a unit all of whose characters have a piece: one pass, longest piece first at each position.
 
-        The state of position -1, before the first character, is kept at the end of the list."""
+        Every piece that ends at a position relaxes its best score from where the piece begins; in a BPE vocabulary only
+        if the merges leave the border before the piece alone.  The state of position -1, before the first character, is
+        kept at the end of the lists."""
         if not unit:
             return []
-        n, base = len(unit), len(self.pieces)
-        out = []
-        if self.unigram:
-            best, last, scores = [float("-inf")] * n + [0.0], [(0, 0)] * n, self.scores
-            for end, found in self.automaton.iter(unit):
-                value = best[end - found[0]] + scores[found[1]]
-                if value > best[end]:
-                    best[end], last[end] = value, found
-            end = n - 1
-            while end >= 0:
-                size, at = last[end]
-                out.append(at)
-                end -= size
-            return out[::-1]
-        state: list = [None] * (n + 1)
-        state[n] = base * base  # fits before any piece
-        fits, width = self.pairs.get, self.width
-        for end, (size, at) in self.automaton.iter(unit):
-            if state[end] is None:
-                left = state[end - size]
-                if left is not None and (fit := fits(left + at)) is not False and (fit or self._fits(left + at)):
-                    state[end] = at * base
-        end = n - 1
+        n, base, scores, fits = len(unit), len(self.pieces), self.scores, None if self.unigram else self.pairs.get
+        best, last = [float("-inf")] * n + [0.0], [(0, 0)] * n + [(0, base)]
+        for end, found in self.automaton.iter(unit):
+            size, at = found
+            value = best[end - size] + scores[at]
+            if value > best[end]:
+                if fits is not None:
+                    key = last[end - size][1] * base + at
+                    if not (self._fits(key) if (fit := fits(key)) is None else fit):
+                        continue
+                best[end], last[end] = value, found
+        out, end = [], n - 1
         while end >= 0:
-            at = state[end] // base
+            size, at = last[end]
             out.append(at)
-            end -= width[at]
+            end -= size
         return out[::-1]
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
+    def _unit(self, unit: str) -> list[int]:
         """Ids for a unit.  A character without a piece never merges, so it parts the unit."""
         if self.single.issuperset(unit):
-            return tuple(self._segment(unit))
+            return self._segment(unit)
         out: list[int] = []
         begin = 0
         for i, c in enumerate(unit):
@@ -151,45 +145,48 @@ class Codec:
                     out += [self.bytes[b] for b in c.encode("utf-8", "replace")]
                 elif not (out and out[-1] == self.unknown):
                     out.append(self.unknown)
-        return tuple(out + self._segment(unit[begin:]))
+        return out + self._segment(unit[begin:])
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text; the model puts one space before it, escapes spaces and changes nothing else."""
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as packed numbers; the model puts one space before it, escapes spaces and changes nothing else."""
         if not text:
-            return []
+            return b""
         if not self.splits:
-            return list(self._unit(MARK + text.replace(" ", MARK)))
-        out: list[int] = []
+            return array(self.kind, self._unit(MARK + text.replace(" ", MARK))).tobytes()
+        out: list[bytes] = []
         first, spaced, bare = self.spaced, self.spaced.__getitem__, self.bare
         for k, line in enumerate(text.replace(MARK, " ").split("\n")):
             if k:
-                out += bare["\n"]
+                out.append(bare["\n"])
                 first = bare
             words = line.split(" ")
             if "" in words:
-                for run in self.runs((MARK if first is self.spaced else "") + line.replace(" ", MARK)):
-                    out += bare[run]
+                out += map(bare.__getitem__, self.runs((MARK if first is self.spaced else "") + line.replace(" ", MARK)))
             else:
-                out += first[words[0]]
+                out.append(first[words[0]])
                 del words[0]
-                out += chain.from_iterable(map(spaced, words))
-        return out
+                out += map(spaced, words)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array(self.kind, self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
-        parts, run = [], bytearray()
-        texts, byte_of = self.texts, self.byte_of
-        for i in ids:
-            text = texts[i]
-            if text is None:
-                run.append(byte_of[i])
-                continue
+        texts = list(map(self.texts.__getitem__, ids))
+        if None in texts:  # runs of bytes are characters together
+            parts, run, byte_of = [], bytearray(), self.byte_of
+            for i, text in zip(ids, texts, strict=True):
+                if text is None:
+                    run.append(byte_of[i])
+                    continue
+                if run:
+                    parts.append(run.decode("utf-8", "replace"))
+                    run.clear()
+                parts.append(text)
             if run:
                 parts.append(run.decode("utf-8", "replace"))
-                run.clear()
-            parts.append(text)
-        if run:
-            parts.append(run.decode("utf-8", "replace"))
-        text = "".join(parts)
+            texts = parts
+        text = "".join(texts)
         return text[1:] if text[:1] == " " else text
 
 
@@ -245,17 +242,20 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
     """``docs`` without its text, with the piece ids of the whole text, their number, and whether decoding them gives the
     text again (a literal space mark comes back as a space, as in any SentencePiece model; everything else must agree).
 
-    Null and empty texts have no ids.  The model file, of a few MB, is read on the driver and broadcast.
+    Null and empty texts have no ids; very long ones are encoded whole, unit by unit.  Rows that repeat are encoded each,
+    nulls in other columns stay, columns that are named like a new one give way to it, and an empty table gives an empty
+    result.  The model file, of a few MB, is read on the driver and broadcast.
     """
     from pyspark.sql import types as T
 
     from .common import utf8, worker_cache
 
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
-    kept = [f for f in docs.schema.fields if f.name != text_col]
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(count_col, T.LongType())] + ([T.StructField(check_col, T.BooleanType())] if check_col else [])
-    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {f.name.lower() for f in new} - {text_col.lower()}))
+    kept = [f for f in docs.schema.fields if f.name != text_col]
     at = docs.columns.index(text_col)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def encode(batches):
         import numpy as np
@@ -266,12 +266,12 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
             ends, flat, same = [0], [], []
             for raw in utf8(batch.column(at)):
                 text = raw.decode("utf-8", "replace")
-                ids = codec.encode(text)
+                ids = codec.packed(text)
                 if check_col:
-                    same.append(codec.decode(ids) == text.replace(MARK, " "))
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+                    same.append(codec.decode(array(codec.kind, ids)) == text.replace(MARK, " "))
+                flat.append(np.frombuffer(ids, codec.kind))
+                ends.append(ends[-1] + len(flat[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).astype(np.int32) if flat else [], pa.int32()))
             cols = [c for i, c in enumerate(batch.columns) if i != at] + [lists, pa.array(np.diff(ends), pa.int64())] + ([pa.array(same, pa.bool_())] if check_col else [])
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in kept + new])
 
@@ -279,12 +279,13 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", model_path: str = PUBLIC_MODEL) -> DataFrame:
-    """``encoded`` with the text of its ids as one more column; null ids give the empty text."""
+    """``encoded`` with the text of its ids as one more column, in place of one of that name; null ids give the empty text."""
     from pyspark.sql import types as T
 
     from .common import worker_cache
 
     model = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    encoded = encoded.select(*(f"`{c}`" for c in encoded.columns if c.lower() != text_col.lower()))
     at = encoded.columns.index(ids_col)
 
     def decode(batches):

@@ -5,7 +5,7 @@ import random
 WORDS = "the of and to in is that for it was on are as with be by at from his they have this or had not but what all were when".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; their values must not matter.
-CLASH = {"size": 7, "kept": True, "component": 1, "sha": "x", "node": 3, "label": 4, "score": 0.5, "rep": 9, "own": 1}
+CLASH = {"size": 7, "kept": True, "component": 1, "sha": "x", "node": 3, "label": 4, "score": 0.5, "rep": 9, "own": 1, "ids": 1, "n_tokens": "n", "Round_Trip": 2, "__id": 3, "__row": 5, "__score": 0.1, "__copies": 6, "a b": 1}
 
 
 def prose(n: int, seed: int) -> str:

@@ -37,10 +37,11 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [26, 12])  # a full bitmap only costs time
+@pytest.mark.parametrize("bits", [29, 12])  # a full bitmap only costs time
 def test_exact_dedup_against_brute_force(spark, bits):
-    got = exact_dedup(frame(spark), bitmap_bits=bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
-    assert sorted(map(tuple, got), key=str) == brute_exact(documents())
+    far = [(-(2**63), "far below", None, None, None), (2**63 - 1, "far  below", None, None, None)]
+    got = exact_dedup(frame(spark, documents() + far), most_bits=bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_exact(documents() + far)
     assert exact_dedup(empty(spark)).count() == 0
 
 

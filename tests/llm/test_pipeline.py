@@ -1,5 +1,10 @@
+import re
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from convoscore.llm.common import table
+from convoscore.llm.quality import fit_quality, quality_scores
 
 from .fixtures import DOCS, frame, prose
 from .test_dedup import brute_exact, brute_near
@@ -26,11 +31,28 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert len(encoded) == mixed.count() and all(r.round_trip for r in encoded)
 
 
-def test_stages_stand_odd_rows(spark):
-    docs = frame(spark, clash=False)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-    assert docs.count() > 0
+def test_stages_stand_odd_rows_and_clashing_columns(spark):
+    """Each stage against what it must keep of odd rows, among columns with names of its own."""
+    docs = frame(spark)
+    whole = lambda df: sorted(map(repr, df.collect()))
+    forest = fit_quality(docs, table(spark, SF, "labels"))
+    scores = quality_scores(docs, forest, score_col="own score")
+    got = corpus_pipeline.quality(spark, docs, SF)
+    assert got.columns == docs.columns and whole(got) == whole(scores.filter(F.col("own score") >= corpus_pipeline.LEAST_SCORE).drop("own score"))
+    rows = [tuple(r)[:5] for r in docs.collect()]
+    got = corpus_pipeline.exact(spark, docs, SF)
+    bodies = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in got.collect()]
+    assert got.columns == docs.columns and len(bodies) == len(set(bodies)) and set(bodies) == {re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows}
+    got = corpus_pipeline.near(spark, docs, SF)
+    texts = [r.text for r in got.collect()]
+    numbered = [(k, *r[1:]) for k, r in enumerate(rows)]
+    groups = [x[2] for x in brute_near(numbered, 5)]
+    of = {r[1]: g for r, g in ((r, next(x[2] for x in brute_near(numbered, 5) if x[0] == r[0])) for r in numbered) if (r[1] or "").split()}
+    assert got.columns == docs.columns and len(texts) == len(set(groups)) and len({of[t] for t in texts if t in of}) == len(set(of.values()))
+    got = corpus_pipeline.mixing(spark, docs, SF)
+    assert got.columns == docs.columns and set(whole(got)) <= set(whole(docs))
+    encoded = corpus_pipeline.encode(spark, docs, SF)
+    assert encoded.columns == [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "Round_Trip")] + ["ids", "n_tokens", "round_trip"] and encoded.count() == len(rows)
     none = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
