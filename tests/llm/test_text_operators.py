@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import re
 from datetime import date
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from convoscore.llm import queries
 from convoscore.llm.html import common_lines, extract, main_text, parse, url_key
-from convoscore.llm.licenses import TEMPLATES, Scanner, blocks_of, license_texts, scan
+from convoscore.llm.licenses import CALLED, TEMPLATES, Scanner, blocks_of, license_texts, scan, wordings, words_of
 from convoscore.llm.lines import line_dedup
 from convoscore.llm.mixing import mix, targets
 from convoscore.llm.pii import feistel, pseudonymise
@@ -117,12 +118,56 @@ def test_encode_and_decode_documents(spark):
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = targets({"b": 100, "a": 100, None: 100, "c": 0}, [3, 1, 2], 1.5, 2)
-    # weights 3, 1, 2, 3 in code point order; what c can't take goes to the others: 450 * 3/7, 450 * 1/7, 450 * 3/7
-    assert got["a"] == got[None] == pytest.approx(450 * 3 / 7) and got["b"] == pytest.approx(450 / 7) and got["c"] == 0
-    assert targets({"a": 10, "b": 1000}, [3, 1, 2], 1.5, 2) == {"a": 20.0, "b": pytest.approx(1495)}
-    assert targets({}, [3, 1, 2], 1.5, 2) == {}
+def plain_targets(sizes, weights, share, limit):
+    """Level by level, source by source."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, out, left = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {}, share * sum(sizes.values())
+    while len(out) < len(order):
+        free = [s for s in order if s not in out]
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) >= limit * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        out |= {s: limit * sizes[s] for s in over}
+        left -= sum(limit * sizes[s] for s in over)
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(3)
+    cases = [{"b": 100, "a": 100, None: 100, "c": 0}, {"a": 10, "b": 1000}, {}, {"a": 0}, {f"s{k}": int(r.paretovariate(0.6) * 10) for k in range(60)} | {None: 7}]
+    for sizes in cases:
+        for share in (1.5, 2.0, 0.1):
+            df = spark.createDataFrame(list(sizes.items()), "source string, words long")
+            got = {x.source: x.target for x in targets(df, (3, 1, 2), share, 2).collect()}
+            assert got == pytest.approx(plain_targets(sizes, [3, 1, 2], share, 2))
+
+
+def test_mix_against_a_plain_model(spark):
+    """Targets, rates by bisection, and copies by systematic sampling, written anew without Spark."""
+    r = random.Random(4)
+    rows = [(k, "w " * r.choice([0, 1, 3, 3, 8, 20, 150]), "en", r.choice(["a", "b", "b", "c", None]), 0) for k in range(500)]
+    got = mix(frame(spark, rows)).toPandas()
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes.setdefault(source, []).append(len(text.split()))
+    want = plain_targets({s: sum(x) for s, x in sizes.items()}, [3, 1, 2], 1.5, 2)
+    for source, own in sizes.items():
+        g = got[got.source.isna() if source is None else got.source == source].sort_values("size")
+        assert sorted(g["size"]) == sorted(own) and (g.source_size == sum(own)).all() and g.target.to_numpy() == pytest.approx(want[source])
+        mean, low, high = sum(own) / sum(n > 0 for n in own), -50.0, 50.0
+        rate = lambda n, lam: 2 / (1 + math.exp(-max(-700, min(700, lam * n / mean))))  # noqa: E731, B023
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(n * rate(n, lam) for n in own) < want[source] else (low, lam)
+        if want[source] < 2 * sum(own):
+            assert g.rate.to_numpy() == pytest.approx([rate(n, lam) for n in g["size"]], rel=1e-6)
+            # as many copies up to each size as the rates say, at the starting point that comes nearest to the target
+            floor = lambda u, k: math.floor(u + sum(g.rate.iloc[:k]) + 1e-9)  # noqa: E731, B023
+            total = lambda u: sum(n * (floor(u, k + 1) - floor(u, k)) for k, n in enumerate(g["size"]))  # noqa: E731, B023
+            nearest = min(abs(total((k + 0.5) / 64) - want[source]) for k in range(64))
+            assert abs(g.taken.sum() - want[source]) <= nearest + 1e-6
+        else:
+            assert (g["copies"] == 2).all()
 
 
 def test_mix(spark):
@@ -402,6 +447,49 @@ def test_notices_with_the_same_first_words():
     assert licenses_in("This project is licensed under the terms below.\n" + apache, nc, gpl) == [["Apache-2.0"], ["CC-BY-NC-4.0"], ["GPL-3.0"]]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+    ("licensed under the MIT License", ["MIT"]),
+    ("Dual licensed under the MIT license or Apache-2.0", ["Apache-2.0", "MIT"]),
+    ("distributed under the BSD 3-Clause license", ["BSD-3-Clause"]),
+    ("Released under the MIT License. Released under the ISC License.", ["ISC", "MIT"]),
+    ("SPDX-License-Identifier: GPL-2.0. This work is licensed under the GNU General Public License, version 3.", ["GPL-2.0", "GPL-3.0"]),
+    ("Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0. Released under the BSD 2-Clause License.\nReleased under the BSD 3-Clause License.", ["BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0"]),
+    ("Code: GPLv3 licence. Texts under the Creative Commons Attribution-ShareAlike 3.0 Unported licence.", ["CC-BY-SA-3.0"]),
+    ("She studied at MIT or Apache helicopters, with a licence.", []),
+])
+def test_common_notices(text, want):
+    assert licenses_in(text) == [want]
+
+
+def test_compression_chooses_what_is_compared(monkeypatch):
+    """Only the ranking's head is compared: turned upside down, or without savings, it finds nothing of two notices."""
+    text = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert licenses_in(text) == [["Apache-2.0", "MIT"]]
+    rank = Scanner.rank
+    monkeypatch.setattr(Scanner, "rank", lambda self, words: [(-share, name) for share, name in rank(self, words)[::-1]])
+    assert licenses_in(text) == [[]]
+    monkeypatch.setattr(Scanner, "rank", lambda self, words: sorted(((0.9 if name == "MIT" else 0.1, name) for _, name in rank(self, words)), reverse=True))
+    assert licenses_in(text) == [["MIT"]]
+
+
+def test_scan_against_every_wording(spark):
+    """Blocks of up to four notices: the same licences as a search for every wording of every licence gives."""
+    forms = {name: [tuple(words_of(f)) for f in wording] for name, wording in wordings().items()}
+    r, rows = random.Random(9), []
+    for k in range(150):
+        names = r.sample(sorted(CALLED), r.randrange(1, 5))
+        parts = [f"{r.choice(['Licensed', 'Released', 'Distributed'])} under the {r.choice(CALLED[n])}{r.choice(['', ' License'])}" for n in names]
+        rows.append((k, prose(30, k) + ".\n" + r.choice([". ", ".\n", "\n", ", or "]).join(parts) + ".\n" + prose(20, k), None, None, None))
+    got = {x.doc_id: x.licenses for x in scan(frame(spark, rows + rows[:2])).collect()}
+    for k, text, *_ in rows:
+        words, found = tuple(words_of(text)), []
+        for name, own in forms.items():
+            found += [(i, i + len(f), name) for f in own for i in range(len(words)) if words[i : i + len(f)] == f]
+        want = {name for i, j, name in found if not any((a <= i and j <= b) and b - a > j - i for a, b, _ in found)}
+        assert set(got[k]) == want, text
+
+
 # --- registration ------------------------------------------------------------------------------------------------
 
 
