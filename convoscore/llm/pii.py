@@ -2,8 +2,10 @@
 
 Values are found by one pattern, validated (Luhn, mod 97, octets, calendar, area numbers) and permuted by a keyed Feistel
 network within their format: a card stays a card with a right check digit, a date a date in its notation.  The permutation
-depends on the key, the kind and the length only, so equal values get equal pseudonyms in every document, and two values
-never share one, but for dates with the month first, whose pseudonyms may read like another date's with the day first.  E-mail addresses and secrets get keyed digests of their form.  What does not validate stays as it is.
+depends on the key, the kind and the length only, and not on the notation (spaces, signs, order of a date's parts, letters'
+case, short forms of an address), so equal values get equal pseudonyms in every document, and two values never share one,
+but for dates with the month first, whose pseudonyms may read like another date's with the day first.  E-mail addresses
+and secrets get keyed digests of their form.  What does not validate stays as it is.
 
 No shuffle, no join: every document is rewritten where it lies.
 """
@@ -16,19 +18,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Dates permute among 250 * 292 days from here, to 2099-11-13; others are left alone.
-FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 250, 292
+#: Dates permute within ranges of left * right days, by (first day, left, right): those before 1900, those up to
+#: 2099-11-23, and those up to the end of 9999.
+DATE_RANGES = ((0, 745, 931), (693595, 245, 298), (766605, 1534, 1881))
+DAY_ONE = "0001-01-01"
 
 EMAIL = r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}\p{M}0-9._%+-]++@(?:[\p{L}\p{M}0-9-]++\.)+[\p{L}\p{M}]{2,}+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
+#: Four numbers that a version may be are no address.
+IPV4 = r"(?<![0-9A-Za-z])(?<![0-9]\.)(?<!(?:[Vv]ersion|[Rr]elease|[Bb]uild) )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+YMD_DATE = r"(?<![0-9./-])[0-9]{4}(?:-[0-9]{2}-[0-9]{2}|/[0-9]{1,2}/[0-9]{1,2}|\.[0-9]{1,2}\.[0-9]{1,2})(?![0-9-]|[./][0-9])"
 DMY_DATE = r"(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9])|(?<![0-9.+-])(?<![0-9] )(?:[2-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9](?: [0-9]{2}){4})(?! ?[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])"
+#: How access tokens of well-known services begin.
+TOKEN_HEAD = r"(?:AKIA|ASIA|AIza|eyJ|sk-(?:[a-z]+-)?|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|(?:sk|rk|pk)_(?:live|test)_)"
+TOKEN = rf"(?<![0-9A-Za-z_-]){TOKEN_HEAD}[0-9A-Za-z_-]{{16,}}+(?:\.[0-9A-Za-z_-]++)*+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, CARD, SECRET))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, TOKEN, IBAN, IPV6, IPV4, YMD_DATE, DMY_DATE, SSN, PHONE, CARD, SECRET))
+#: What a text must hold to be searched at all.
+HINT = rf"[0-9@]|{TOKEN_HEAD}"
+#: Country codes of telephone numbers of one and two digits; all others have three.
+COUNTRY = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
 
@@ -111,7 +124,7 @@ def _mod97(iban: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    bare = F.regexp_replace(value, " ", "")
+    bare = F.upper(F.regexp_replace(value, " ", ""))
     body = F.substring(bare, F.lit(5), F.length(bare) - 4)
     digits = _digits_of(body)
     # up to 18 digits at a time; the rest of a longer number is a block of its own
@@ -120,8 +133,8 @@ def _iban(value: Column, key: str) -> Column:
     moved = _refill(body, new)
     check = F.lpad((98 - _mod97(F.concat(F.substring(bare, 1, 2), F.lit("00"), moved))).cast("string"), 2, "0")
     joined = F.concat(F.substring(bare, 1, 2), check, moved)
-    spaced = F.rtrim(F.regexp_replace(joined, "(.{4})", "$1 "))
-    return F.when((F.length(digits) >= 2) & (_mod97(bare) == 1), F.when(F.contains(value, F.lit(" ")), spaced).otherwise(joined))
+    spaced = F.when(F.contains(value, F.lit(" ")), F.rtrim(F.regexp_replace(joined, "(.{4})", "$1 "))).otherwise(joined)
+    return F.when((F.length(digits) >= 2) & (_mod97(bare) == 1), F.when(value == F.lower(value), F.lower(spaced)).otherwise(spaced))
 
 
 def _card(value: Column, key: str) -> Column:
@@ -132,10 +145,11 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _refill(rest, permute_digits(_digits_of(rest), key, "phone")))
+    """The country code stays; the number behind it is the same in every notation."""
+    digits = _digits_of(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRY})", 0)).otherwise("")
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return _refill(value, F.concat(code, permute_digits(rest, key, "phone")))
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -160,23 +174,51 @@ def _ip(value: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), shown)
 
 
+def _ipv6(value: Column, key: str) -> Column:
+    """All eight groups of the pseudonym are written, whatever the value leaves out."""
+    halves = F.split(value, "::", -1)
+    groups = [F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda x: x != "") for k in (0, 1)]
+    missing = 8 - F.size(groups[0]) - F.size(groups[1])
+    whole = F.concat(groups[0], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups[1])
+    digits = F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), "")
+    bits = lambda x: F.conv(x, 16, -10).cast("long")
+
+    def step(pair: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        mixed = bits(F.substring(_digest(key, "ipv6", i, F.when(even, pair["r"]).otherwise(pair["l"])), 1, 16))
+        return F.struct(F.when(even, pair["l"].bitwiseXOR(mixed)).otherwise(pair["l"]).alias("l"), F.when(even, pair["r"]).otherwise(pair["r"].bitwiseXOR(mixed)).alias("r"))
+
+    begin = F.struct(bits(F.substring(digits, 1, 16)).alias("l"), bits(F.substring(digits, 17, 16)).alias("r"))
+    shown = lambda p: F.regexp_replace(F.lower(F.concat(F.lpad(F.hex(p["l"]), 16, "0"), F.lpad(F.hex(p["r"]), 16, "0"))), "(.{4})(?=.)", "$1:")
+    right = F.when(F.contains(value, F.lit("::")), missing >= 1).otherwise(missing == 0)
+    return F.when(right, F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, step, shown))
+
+
 def _date(value: Column, key: str) -> Column:
-    iso = F.substring(value, 5, 1) == "-"
-    parts = F.split(value, r"[./]")
+    parts = F.split(value, r"[./-]")
+    first = F.length(parts[0]) == 4  # the year
 
-    def read(day: int, month: int) -> Column:
-        return F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(month)), 2, "0"), F.lpad(F.get(parts, F.lit(day)), 2, "0")), "yyyy-MM-dd")
+    def read(year: int, month: int, day: int) -> Column:
+        return F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(year)), F.lpad(F.get(parts, F.lit(month)), 2, "0"), F.lpad(F.get(parts, F.lit(day)), 2, "0")), "yyyy-MM-dd")
 
     # the day first, or else the month; a pseudonym with the month first may read like one with the day first
-    month_first = ~iso & read(0, 1).isNull()
-    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(F.coalesce(read(0, 1), read(1, 0)))
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    run = feistel(F.floor(n / DAYS_RIGHT), n % DAYS_RIGHT, F.lit(DAYS_LEFT), F.lit(DAYS_RIGHT), key, F.lit("date"))
-    new = run(lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_RIGHT + p["r"]).cast("int")))
-    mark = F.regexp_extract(value, "[./]", 0)
-    turned = lambda a, b: F.concat_ws("", F.date_format(new, a), mark, F.date_format(new, b), mark, F.date_format(new, "yyyy"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(month_first, turned("MM", "dd")).otherwise(turned("dd", "MM"))
-    return F.when(n.between(0, DAYS_LEFT * DAYS_RIGHT - 1), shown)
+    month_first = ~first & read(2, 1, 0).isNull()
+    day = F.when(first, read(0, 1, 2)).otherwise(F.coalesce(read(2, 1, 0), read(2, 0, 1)))
+    n = F.datediff(day, F.lit(DAY_ONE).cast("date")).cast("long")
+
+    def pick(k: int) -> Column:
+        out = F.lit(DATE_RANGES[0][k])
+        for r in DATE_RANGES[1:]:
+            out = F.when(n >= r[0], F.lit(r[k])).otherwise(out)
+        return out.cast("long")
+
+    begin, left, right = (pick(k) for k in range(3))
+    run = feistel(F.floor((n - begin) / right), (n - begin) % right, left, right, key, F.concat_ws("/", F.lit("date"), begin.cast("string")))
+    new = run(lambda p: F.date_add(F.lit(DAY_ONE).cast("date"), (begin + p["l"] * right + p["r"]).cast("int")))
+    mark = F.regexp_extract(value, "[./-]", 0)
+    turned = lambda *forms: F.concat_ws("", F.date_format(new, forms[0]), mark, F.date_format(new, forms[1]), mark, F.date_format(new, forms[2]))
+    shown = F.when(first, turned("yyyy", "MM", "dd")).when(month_first, turned("MM", "dd", "yyyy")).otherwise(turned("dd", "MM", "yyyy"))
+    return F.when(n >= 0, shown)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -188,14 +230,25 @@ def _secret(value: Column, key: str) -> Column:
     return F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
+def _token(value: Column, key: str) -> Column:
+    """The head and the signs stay; letters and digits become digits of a digest."""
+    head = F.regexp_extract(value, f"^{TOKEN_HEAD}", 0)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("token"), value), 512)
+    body = F.split(F.substring(value, F.length(head) + 1, F.length(value)), "")
+    new = F.array_join(F.transform(body, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(digest, i % 128 + 1, F.lit(1))).otherwise(c)), "")
+    return F.concat(head, F.when(value.rlike("^A[KS]IA"), F.upper(new)).otherwise(new))
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """STRUCT(kind, new): the pseudonym of one found value; kind is null and new the value itself if it does not validate."""
     # what parts a value from its neighbours is not in the value, so that back references count anew
     tries = [
         ("email", F.contains(value, F.lit("@")), _email),
-        ("iban", value.rlike("^[A-Z]{2}[0-9]{2}"), _iban),
+        ("secret", value.rlike(f"^{TOKEN_HEAD}[0-9A-Za-z_-]{{16}}"), _token),
+        ("ip", F.contains(value, F.lit(":")), _ipv6),
+        ("iban", value.rlike("^[A-Za-z]{2}[0-9]{2}") & ~value.rlike("^[0-9a-f]{32}|^[0-9A-F]{32}"), _iban),
         ("ip", value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ip),
-        ("date", value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}$"), _date),
+        ("date", value.rlike(r"^[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}$|^[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}$"), _date),
         ("ssn", value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn),
         ("phone", value.rlike(r"^[+(]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$|^[0-9]{3} [0-9]{3} [0-9]{4}$|^0[0-9]( [0-9]{2}){4}$"), _phone),
         ("card", value.rlike("^[0-9 -]{13,23}$"), _card),
@@ -211,10 +264,11 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_replaced and a count for each kind.
 
-    Null texts count as empty.  Other columns are ignored; ids may be null or repeated.
+    Null texts count as empty; long ones are searched whole.  Other columns are ignored; ids may be null or repeated, and
+    rows that repeat are rewritten each; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     named = found.withColumn("named", F.transform("found", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p"))))
     # Java's split with a negative limit keeps every part, so parts and values alternate.
     parts = F.split("text", ANY, -1)
