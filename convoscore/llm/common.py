@@ -118,6 +118,29 @@ def bits_for(count: int, most: int = MOST_BITS) -> int:
     return max(12, min(most, (16 * count).bit_length()))
 
 
+def pieces(batches, rows: int = 1024):
+    """Arrow batches cut into short ones, so that what Python makes of one is small; after the last, a worker process
+    gives the memory that it has freed back to the system, as it lives on for other stages."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only in some C libraries
+        pass
+
+
 def id_bitmap(ids: DataFrame, most: int = MOST_BITS) -> bytes:
     """A bitmap with the bit of every id's hash set.  It tells which rows may be among the ids."""
     import zlib

@@ -12,11 +12,12 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, MOST_BITS, bits_for, cut, free, n_shuffle, utf8
+from .common import ASCII_SPACE, MOST_BITS, bits_for, cut, free, n_shuffle, pieces, utf8
 
 #: Suspects' distinct texts that a task keeps before it passes them on.
 HELD_BYTES = 48 << 20
@@ -71,8 +72,8 @@ def _send(owner_bits: int):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        prints = [int.from_bytes(_sha(b.translate(None, ASCII_SPACE))[:8], "big") for batch in batches for b in utf8(batch.column(0))]
-        found, counts = np.unique(np.array(prints, np.uint64), return_counts=True)
+        prints = array("Q", (int.from_bytes(_sha(b.translate(None, ASCII_SPACE))[:8], "big") for batch in pieces(batches) for b in utf8(batch.column(0))))
+        found, counts = np.unique(np.frombuffer(prints, np.uint64), return_counts=True)
         shift = np.uint64(64 - owner_bits)
         owners = (found >> shift).astype(np.int64) if owner_bits else np.zeros(len(found), np.int64)
         cuts = np.searchsorted(owners, np.arange((1 << owner_bits) + 1))
@@ -158,7 +159,7 @@ def _sift(bitmap):
                 ["is_text", "doc_id", "sha", "n_cp", "body", "n"],
             )
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, shas = batch.column(0).to_pylist(), []
             for doc_id, raw in zip(ids, utf8(batch.column(1)), strict=True):
                 body = raw.translate(None, ASCII_SPACE)

@@ -223,7 +223,9 @@ def _parse_pages(bounds: list[tuple]):
     def parse_pages(batches):
         from bisect import bisect_right
 
-        for batch in batches:
+        from .common import pieces
+
+        for batch in pieces(batches, 256):
             ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             pages = [parse(x or "") for x in batch.column(2).to_pylist()]
             places = [_place(i, u) for i, u in zip(ids, urls, strict=True)]

@@ -15,7 +15,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import pieces, worker_cache
 
 #: Licence names with the wordings of public notices and file headers.  The texts themselves are whole, in
 #: license_texts/ (without list numbers and appendices), for those licences that have a file there.
@@ -359,7 +359,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if "licenses" not in cache:
             cache["licenses"] = Scanner()
         scanner: Scanner = cache["licenses"]
-        for batch in batches:
+        for batch in pieces(batches):
             counts, names, notices = [], [], []
             for text in batch.column(1).to_pylist():
                 n, notices_ = scanner.notices(text or "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free, n_shuffle, utf8
+from .common import cut, free, n_shuffle, pieces, utf8
 
 #: Ranks within one (source, size) are counted in so many slices, so that copies of one text don't meet in one task.
 SLICES = 256
@@ -31,7 +31,7 @@ def word_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             sizes = pa.array([len(b.split()) for b in utf8(batch.column(len(keep)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], [*keep, "size"])
 

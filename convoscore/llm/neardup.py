@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_bitmap, sift_by_bitmap, utf8, worker_cache
+from .common import cut, id_bitmap, pieces, sift_by_bitmap, utf8, worker_cache
 from .components import components, merge_labels
 
 COORDINATES, BAND = 160, 5
@@ -81,7 +81,7 @@ def _sketch(width: int):
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for raw in utf8(batch.column(1)):
                 s = shingle_set(word_list(raw), width)
@@ -227,15 +227,16 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     def sets_for(some: DataFrame) -> DataFrame:
         """The full sets of the ids in question only, made of their texts again."""
         ids = some.select(F.explode(F.array("a", "b")).alias("id"))
-        sets = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids))
+        found = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids)).join(ids.distinct().toDF("doc_id"), "doc_id", "left_semi")
 
         def sets_of(batches):
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in pieces(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(word_list(raw), width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], ["id", "set"])
 
-        return cut(sets.mapInArrow(sets_of, "id long, set binary").join(ids.distinct(), "id", "left_semi"))
+        # after the join's shuffle: one Python worker a task, not two
+        return cut(found.select("doc_id", "text").mapInArrow(sets_of, "id long, set binary"))
 
     def confirm(some: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are links, by their full sets."""

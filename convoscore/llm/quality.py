@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, utf8
+from .common import held_out, pieces, utf8
 
 #: Names of the statistics, in the order of the columns of ``statistics()``.
 STATISTICS = (
@@ -137,7 +137,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, **
     def measure(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             x = statistics(utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "doc_id", "x"])
 
@@ -164,7 +164,7 @@ def quality_scores(docs: DataFrame, forest: Forest, text_col: str = "text", scor
     def walk(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             scores = model.value.score(statistics(utf8(batch.column(at))))
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
             yield out if least is None else out.filter(pa.array(scores >= least))

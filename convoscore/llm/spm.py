@@ -5,9 +5,8 @@ relaxes the state of that position from the state where the piece begins.
 
 * Unigram vocabularies: plain Viterbi.  The state is the best sum of scores; ties go to the longest last piece.
 * BPE vocabularies (the public one here is one): scores are merge ranks, and the segmentation of highest sum is not what
-  the merges give.  There a piece relaxes a position only if the merges leave the border between it and the last piece of
-  the best path to where it begins alone, so that the best path is the merges' own.  The check of such a pair is
-  remembered.  The ids are then the library's own.
+  the merges give.  There a piece relaxes a position only if the merges leave the border between it and the piece before
+  alone - exactly one piece does.  The check of such a pair is remembered.  The ids are then the library's own.
 
 Characters without a piece become byte pieces (or the unknown id).  No piece holds a space mark after another character,
 so texts split before runs of spaces, and the encoding of a unit is remembered in each worker process.
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units in each of the two generations that a worker remembers; an eighth of that for units that no space comes before.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Longer units are not remembered.
 LONGEST = 64
 PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -108,27 +107,37 @@ class Codec:
     def _segment(self, unit: str) -> list[int]:
         """Ids for a unit all of whose characters have a piece: one pass, longest piece first at each position.
 
-        Every piece that ends at a position relaxes its best score from where the piece begins; in a BPE vocabulary only
-        if the merges leave the border before the piece alone.  The state of position -1, before the first character, is
-        kept at the end of the lists."""
+        Every piece that ends at a position relaxes its best score from where the piece begins.  In a BPE vocabulary only
+        if the merges leave the border before the piece alone; as exactly one piece does, the first that fits settles the
+        position, and no scores need to be compared.  The state of position -1, before the first character, is kept at
+        the end of the lists."""
         if not unit:
             return []
-        n, base, scores, fits = len(unit), len(self.pieces), self.scores, None if self.unigram else self.pairs.get
-        best, last = [float("-inf")] * n + [0.0], [(0, 0)] * n + [(0, base)]
-        for end, found in self.automaton.iter(unit):
-            size, at = found
-            value = best[end - size] + scores[at]
-            if value > best[end]:
-                if fits is not None:
-                    key = last[end - size][1] * base + at
-                    if not (self._fits(key) if (fit := fits(key)) is None else fit):
-                        continue
-                best[end], last[end] = value, found
-        out, end = [], n - 1
+        n, out = len(unit), []
+        if self.unigram:
+            best, last, scores = [float("-inf")] * n + [0.0], [(0, 0)] * n, self.scores
+            for end, found in self.automaton.iter(unit):
+                value = best[end - found[0]] + scores[found[1]]
+                if value > best[end]:
+                    best[end], last[end] = value, found
+            end = n - 1
+            while end >= 0:
+                size, at = last[end]
+                out.append(at)
+                end -= size
+            return out[::-1]
+        base, fits, width = len(self.pieces), self.pairs.get, self.width
+        state: list = [None] * n + [base * base]  # what fits before any piece
+        for end, (size, at) in self.automaton.iter(unit):
+            if state[end] is None:
+                left = state[end - size]
+                if left is not None and (fit := fits(left + at)) is not False and (fit or self._fits(left + at)):
+                    state[end] = at * base
+        end = n - 1
         while end >= 0:
-            size, at = last[end]
+            at = state[end] // base
             out.append(at)
-            end -= size
+            end -= width[at]
         return out[::-1]
 
     def _unit(self, unit: str) -> list[int]:
@@ -172,21 +181,21 @@ class Codec:
         return array(self.kind, self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
-        texts = list(map(self.texts.__getitem__, ids))
-        if None in texts:  # runs of bytes are characters together
+        try:
+            text = "".join(map(self.texts.__getitem__, ids))
+        except TypeError:  # there are byte pieces: runs of them are characters together
             parts, run, byte_of = [], bytearray(), self.byte_of
-            for i, text in zip(ids, texts, strict=True):
-                if text is None:
+            for i, part in zip(ids, map(self.texts.__getitem__, ids), strict=True):
+                if part is None:
                     run.append(byte_of[i])
                     continue
                 if run:
                     parts.append(run.decode("utf-8", "replace"))
                     run.clear()
-                parts.append(text)
+                parts.append(part)
             if run:
                 parts.append(run.decode("utf-8", "replace"))
-            texts = parts
-        text = "".join(texts)
+            text = "".join(parts)
         return text[1:] if text[:1] == " " else text
 
 
@@ -248,7 +257,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
     """
     from pyspark.sql import types as T
 
-    from .common import utf8, worker_cache
+    from .common import pieces, utf8, worker_cache
 
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(count_col, T.LongType())] + ([T.StructField(check_col, T.BooleanType())] if check_col else [])
@@ -262,7 +271,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
         import pyarrow as pa
 
         codec = _cached(worker_cache(), model)
-        for batch in batches:
+        for batch in pieces(batches):
             ends, flat, same = [0], [], []
             for raw in utf8(batch.column(at)):
                 text = raw.decode("utf-8", "replace")

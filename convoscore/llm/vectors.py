@@ -20,7 +20,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_shuffle
+from .common import cut, n_shuffle, pieces
 from .components import components
 
 #: Vectors of one bucket that meet in one block.
@@ -107,7 +107,7 @@ def _pack(kind: str):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches, 4096):
             out = []
             for v in batch.column(1).to_pylist():
                 x = None if not v or any(c is None for c in v) else np.array(v, kind)
