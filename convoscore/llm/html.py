@@ -2,9 +2,12 @@
 
 Pages become lines (the blocks of their text) that know their containers.  Pages of a host are sorted by path; each is
 compared with the neighbour whose path shares the longest prefix and that is no copy of it: their lines are aligned by a
-longest common subsequence, and shared lines are deleted as the site's template.  An article may share lines with that
-page too (a common sentence), so lines of containers that are marked up as the article return to it; elsewhere they stay
-deleted.  A page that has only copies around it keeps its lines.  Menus, forms, adverts and the like never count.
+longest common subsequence, and shared lines are deleted as the site's template.
+
+Differencing can't tell two kinds of lines: what the article shares with its neighbour (a common sentence) and what is not
+the article but differs from page to page (adverts, comments, menus made for the page).  There markup breaks the tie:
+lines of containers that are marked up as the article return to it, elsewhere shared lines stay deleted; and elements that
+can't be article text never count.  A page that has only copies around it keeps its lines.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ def parse(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
             odd, article = _nature(name, token["attr"] or token["attr2"] or "", inside)
             if odd and not skipped:
                 flush()
-            if not (skipped or odd) and name in ("article", "main", "section", "div", "body", "td") and len(parents) < 1 << 20:
+            if not (skipped or odd) and name in ("article", "main", "section", "div", "body", "td"):
                 parents.append(box)
                 marked.append(article)
                 box = len(parents) - 1
@@ -411,7 +414,8 @@ def _difference_borders(batches):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars.
 
-    The whole html is read; null counts as empty.  A null or odd url gives an empty host, whose pages are compared with
+    The whole html is read, however long; null counts as empty.  Other columns are ignored, ids may be null or repeated,
+    each row is a page of its own, and an empty table gives an empty result.  A null or odd url gives an empty host, whose pages are compared with
     each other like any host's.  Pages with the same url are neighbours in order of id; a page without a neighbour keeps
     all that its markup does not rule out.  The large shuffle carries lines, by ranges of (host, path, id, url), so that
     a host with a third of all pages is cut like any other; a small one brings the pages at the ranges' borders together,

@@ -7,8 +7,9 @@ make 32 bands of 5: a pair with similarity 0.8 shares no band with probability 3
 
 Documents with one and the same shingle set form a class, represented by its smallest id.  Classes are first compared
 with the smallest of their buckets (stars, never all pairs), in a few bands and then, where a bucket still holds several
-components, in all of them.  Components that then still share a bucket and have similar signatures form crowds; within a
-crowd, whatever lies in different components is compared in blocks.  Every link is confirmed on full sets.
+components, in all of them.  In buckets that then still hold several, whatever lies outside the largest component is
+compared with all that lies in another one, in cells of two blocks: signatures tell which classes have a partner at all,
+and only those get their full sets and are confirmed.  A pair counts in the first band that brings it together.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_bitmap, pieces, sift_by_bitmap, utf8, worker_cache
+from .cells import matrix, pairs_in, whole_cells
+from .common import cut, free, id_bitmap, n_shuffle, pieces, sift_by_bitmap, utf8, worker_cache
 from .components import components, merge_labels
 
 COORDINATES, BAND = 160, 5
+BANDS = COORDINATES // BAND
 RING = 1 << 20
 #: Bands whose buckets are looked at before all others: they join most of what belongs together.
 FIRST_BANDS = 4
-#: Members of a bucket side that meet in one block of the last comparison.
+#: Members of a bucket side that meet in one block of the last comparison, and shingles of all of them.
 BLOCK = 512
-#: Buckets of so many rows are compared as they are.
-SMALL = 64
+BLOCK_SHINGLES = 1 << 22
 
 
 def word_list(raw: bytes) -> list[bytes]:
@@ -92,7 +94,8 @@ def _sketch(width: int):
                 bands = [xxhash.xxh3_64_intdigest(part.tobytes(), seed=k) - 2**63 for k, part in enumerate(sig.reshape(-1, BAND))]
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, sig.astype(np.uint8).tobytes()))
             n, cls, bands, sig = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "bands", "sig"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SLIM.split(", ")])
 
     return sketch
 
@@ -132,69 +135,84 @@ def _linked(percent: int):
     return linked
 
 
-def _pairs_alike(pdf, i: int, percent: int, limit: int, sig, among):
-    """Rows of ``among`` in other components than row i, of a size and with a signature that fit row i's."""
+_CELL = ("key", "i", "j")
+
+
+def _partners(table, ends, percent: int, limit: int):
+    """Index pairs of a cell's rows in different components, of fitting sizes and signatures, that no earlier band has
+    brought together; one of the two, at least, is on side 1."""
     import numpy as np
 
-    label, n = pdf.label.to_numpy(), pdf.n_shingles.to_numpy()
-    at = np.flatnonzero(among & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-    return at[(sig[at] == sig[i]).sum(1) >= limit]
+    i, at, side, block, label, n = (table.column(k).to_numpy() for k in (1, 3, 4, 5, 7, 8))
+    sig, bands, order = matrix(table.column(9), np.uint8), table.column(10).combine_chunks().flatten().to_numpy().reshape(-1, BANDS), np.arange(BANDS)
+
+    def test(a, b):
+        meant = np.where(i[a] < 0, block[a] != block[b], (side[a] != side[b]) | (side[a] == 1) & (i[a] == 0))
+        some = np.flatnonzero(meant & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])))
+        some = some[(sig[a[some]] == sig[b[some]]).sum(1) >= limit]
+        p, q = a[some], b[some]
+        return some[~((bands[p] == bands[q]) & (order < at[p, None])).any(1)]
+
+    return pairs_in(ends, test)
 
 
-def _small(percent: int, limit: int):
-    """Components with similar signatures in a bucket of at most SMALL rows, as pairs of labels."""
+_MEMBER = "key long, i int, j int, at int, side int, block int, rep long, label long"
 
-    def small(pdf):
+
+def _sift(percent: int, limit: int):
+    """The rows of a cell that have a partner there."""
+
+    def sift(batches):
         import numpy as np
-        import pandas as pd
 
-        sig, label = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(-1, COORDINATES), pdf.label.to_numpy()
-        before = np.arange(len(pdf))
-        out = {(min(label[i], label[j]), max(label[i], label[j])) for i in range(len(pdf)) for j in _pairs_alike(pdf, i, percent, limit, sig, before < i)}
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        for table, ends in whole_cells(batches, len(_CELL)):
+            a, b = _partners(table, ends, percent, limit)
+            if len(a):
+                yield from table.select(range(8)).take(np.union1d(a, b)).to_batches()
 
-    return small
+    return sift
 
 
-def _cells(percent: int, limit: int):
-    """One cell of a crowd: rows of side 1 against those of side 0 and among themselves, confirmed on full sets.  Links
-    between components that the cell has joined already are passed over."""
+def _meet(percent: int, limit: int):
+    """Links of a cell, confirmed on full sets.  Those between components that it has joined already are passed over."""
 
-    def cells(pdf):
+    def meet(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        sig, sets = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(-1, COORDINATES), [np.frombuffer(x, np.uint64) for x in pdf.set]
-        ids, label, side = pdf.rep.to_numpy(), pdf.label.to_numpy(), pdf.side.to_numpy()
-        root: dict = {}
+        for table, ends in whole_cells(batches, len(_CELL)):
+            ids, label, raw = table.column(6).to_numpy(), table.column(7).to_pylist(), table.column(11)
+            root: dict = {}
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+            def find(x, root=root):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
 
-        out = []
-        for i in np.flatnonzero(side == 1):
-            for j in _pairs_alike(pdf, i, percent, limit, sig, (side == 0) | (ids < ids[i])):
+            out = []
+            for i, j in zip(*_partners(table, ends, percent, limit), strict=True):
                 x, y = find(label[i]), find(label[j])
                 if x != y:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    p, q = (np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in (i, j))
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
                         root[x] = y
-                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                        out.append((ids[i], ids[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return cells
+    return meet
 
 
 def _cells_of(side: F.Column) -> F.Column:
-    """The cells of a row: (block of side 0, block of side 1), and (-1 - block, other block) for two blocks of side 1."""
-    g0, g1 = (F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") for n in ("n0", "n1"))
-    mine = F.pmod(F.xxhash64("rep"), F.when(side == 0, g0).otherwise(g1)).cast("int")
-    as_main = F.transform(F.sequence(F.lit(0), g1 - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(0).alias("s")))
+    """The cells of a row as (i, j, own block): a block of side 0 with one of side 1; and -1 - i with j for two blocks of
+    side 1.  Rows of one block of side 1 meet in the cells with i = 0."""
+    mine = F.pmod(F.xxhash64("rep"), F.when(side == 0, F.col("g0")).otherwise(F.col("g1"))).cast("int")
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), mine.alias("block"))
+    as_main = F.transform(F.sequence(F.lit(0), F.col("g1") - 1), lambda j: cell(mine, j))
     as_rest = F.concat(
-        F.transform(F.sequence(F.lit(0), g0 - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(1).alias("s"))),
-        F.transform(F.filter(F.sequence(F.lit(0), g1 - 1), lambda j: j != mine), lambda j: F.struct((-1 - F.least(mine, j)).alias("i"), F.greatest(mine, j).alias("j"), F.lit(1).alias("s"))),
+        F.transform(F.sequence(F.lit(0), F.col("g0") - 1), lambda i: cell(i, mine)),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("g1") - 1), lambda j: j != mine), lambda j: cell(-1 - F.least(mine, j), F.greatest(mine, j))),
     )
     return F.when(side == 0, as_main).otherwise(as_rest)
 
@@ -212,7 +230,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     limit = int(COORDINATES * share - 5.5 * (COORDINATES * share * (1 - share)) ** 0.5)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     slim = cut(texts.mapInArrow(_sketch(width), _SLIM))
-    first = F.min(F.struct("doc_id", "n_shingles", "bands", "sig"))
+    first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sig"), "doc_id")
     classes = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(first.alias("r"))
     classes = cut(classes.select("cls", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.bands", "r.sig"))
 
@@ -249,52 +267,56 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         ends = some.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left")
         return cut(ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
 
-    def buckets_of(bands: F.Column, labels: DataFrame | None = None) -> DataFrame:
-        if labels is None:
-            return classes.select("rep", F.explode(bands).alias("key"))
-        named = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", "bands", F.coalesce("l", "rep").alias("label"))
-        return named.select("rep", "label", F.explode(bands).alias("key"))
+    def buckets_of(labels: DataFrame, bands: F.Column) -> DataFrame:
+        named = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", "n_shingles", "bands", F.coalesce("l", "rep").alias("label"))
+        return named.select("rep", "label", "n_shingles", F.posexplode(bands).alias("at", "key"))
 
     def split_of(buckets: DataFrame) -> DataFrame:
-        """Buckets with several components: the largest one, its smallest class, and how many classes it and the others have."""
-        sizes = buckets.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("size", (-F.col("first")).alias("minus"), "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")).filter("labels > 1")
-        return split.select(F.col("key").alias("s_key"), F.col("top.label").alias("main"), (-F.col("top.minus")).alias("hub"), F.col("top.size").alias("n0"), (F.col("all") - F.col("top.size")).alias("n1"))
+        """Buckets with several components: the largest one, its smallest class, and the blocks of it and of the others."""
+        blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+        sizes = buckets.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("rep").alias("first"))
+        top = F.max_by(F.struct("label", "size", "mass", "first"), F.struct("size", "label"))
+        split = sizes.groupBy("key").agg(top.alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all"), F.sum("mass").alias("whole")).filter("labels > 1")
+        return split.select(F.col("key").alias("s_key"), F.col("top.label").alias("main"), F.col("top.first").alias("hub"), blocks(F.col("top.size"), F.col("top.mass")).alias("g0"), blocks(F.col("all") - F.col("top.size"), F.col("whole") - F.col("top.mass")).alias("g1"))
 
     # Stars in the first bands: each class with the likeliest of its centres, then the centres that this leaves apart.
-    few = buckets_of(F.slice("bands", 1, FIRST_BANDS))
+    few = classes.select("rep", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
     hubs = few.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select(F.col("key").alias("h_key"), "hub")
     pairs = alike(few.join(hubs, (F.col("key") == F.col("h_key")) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("p")).select((-F.col("p.m")).alias("a"), "b")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
     likely = sets_for(pairs)
     labels = cut(components(confirm(best, likely)))
     labels = merge_labels(labels, confirm(apart(pairs, labels), likely))
+    free(pairs, likely)
 
     # Stars in all bands, in buckets that hold several components: the others' classes with the largest one's first.
-    every = buckets_of(F.col("bands"), labels)
+    every = buckets_of(labels, F.col("bands"))
     centre = split_of(every)
     pairs = alike(every.join(centre, (F.col("key") == F.col("s_key")) & (F.col("label") != F.col("main"))).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
     if not pairs.isEmpty():
-        labels = merge_labels(labels, confirm(pairs, sets_for(pairs)))
-
-    # What is left: components that still share buckets.  In small buckets signatures tell which are similar; around a
-    # large one, all that share it are taken together.  That gives crowds of components; in each, whatever lies in
-    # different components is compared block by block, the largest component (side 0) not with itself.
-    members = buckets_of(F.col("bands"), labels)
-    split = cut(split_of(members))
-    size = F.col("n0") + F.col("n1")
-    small = members.join(split.filter(size <= SMALL), F.col("key") == F.col("s_key")).select("key", "rep", "label").join(sigs, "rep")
-    large = members.join(split.filter(size > SMALL), (F.col("key") == F.col("s_key")) & (F.col("label") != F.col("main"))).select(F.col("main").alias("a"), F.col("label").alias("b"))
-    near = cut(small.groupBy("key").applyInPandas(_small(percent, limit), "a long, b long").unionByName(large).distinct())
+        likely = sets_for(pairs)
+        labels = merge_labels(labels, confirm(pairs, likely))
+        free(likely)
+    free(pairs)
+
+    # What is left: buckets that still hold several components.
+    members = buckets_of(labels, F.col("bands"))
+    rows = members.join(split_of(members), F.col("key") == F.col("s_key")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    rows = rows.select("key", "at", "side", "rep", "label", F.explode(_cells_of(F.col("side"))).alias("c"))
+    rows = rows.select("key", "c.i", "c.j", "at", "side", "c.block", "rep", "label")
+    details = classes.select("rep", "n_shingles", "sig", "bands")
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(n_shuffle(docs.sparkSession), *_CELL).sortWithinPartitions(*_CELL, "side", "rep")
+
+    near = cut(together(rows.join(details, "rep").select(*(f.split()[0] for f in _MEMBER.split(", ")), "n_shingles", "sig", "bands")).mapInArrow(_sift(percent, limit), _MEMBER))
     if not near.isEmpty():
-        crowds = components(near).toDF("c_label", "crowd")
-        crowd = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", F.coalesce("l", "rep").alias("label"))
-        crowd = cut(crowd.join(crowds, F.col("label") == F.col("c_label")).select(F.col("crowd").alias("key"), "rep", "label"))
-        rows = crowd.join(split_of(crowd), F.col("key") == F.col("s_key")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
-        rows = rows.select("key", "rep", "label", F.explode(_cells_of(F.col("side"))).alias("c")).select("key", "rep", "label", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.s").alias("side"))
-        sets = sets_for(crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).toDF("rep", "set")
-        links = rows.join(sigs, "rep").join(sets, "rep").groupBy("key", "i", "j").applyInPandas(_cells(percent, limit), "a long, b long")
-        labels = merge_labels(labels, cut(links))
+        sets = sets_for(near.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).toDF("rep", "set")
+        whole = near.join(details, "rep").join(sets, "rep").select(*near.columns, "n_shingles", "sig", "bands", "set")
+        links = cut(together(whole).mapInArrow(_meet(percent, limit), "a long, b long"))
+        labels = merge_labels(labels, links)
+        free(links)
+    free(near)
 
     named = classes.select("cls", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component"))
     out = slim.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")

@@ -15,20 +15,20 @@ into large ones.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_shuffle, pieces
+from .cells import binary, matrix, pairs_in, whole_cells
+from .common import cut, free, n_shuffle, pieces
 from .components import components
 
 #: Vectors of one bucket that meet in one block.
 BLOCK = 512
 #: Bits of the codes that travel, in whole rotations.
 CODE_BITS = 256
-#: Rows that are compared at a time, and whole cells beyond that.
-ROWS = 4096
+#: So many named buckets at most are sent to every executor (some 16 bytes each); more are joined by a shuffle.
+NAMED = 100_000
 
 
 def learn_rotations(x, count: int, steps: int = 25, seed: int = 11):
@@ -117,15 +117,6 @@ def _pack(kind: str):
     return pack
 
 
-def _binary(rows):
-    """A column of binary values out of an array of bytes, a row each."""
-    import numpy as np
-    import pyarrow as pa
-
-    size = rows.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def _place(model, kind: str):
     """A row for each vector and table: the table's key, and the code."""
 
@@ -138,10 +129,10 @@ def _place(model, kind: str):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 signs = tables.signs(_unit(batch.column(1).to_pylist(), kind))
-                codes = np.repeat(tables.codes(signs).view(np.uint8), tables.tables, 0)
+                codes = np.repeat(tables.codes(signs), tables.tables, 0)
                 ids = np.repeat(batch.column(0).to_numpy(), tables.tables)
                 t = np.tile(np.arange(tables.tables, dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(tables.keys(signs).ravel()), pa.array(ids), _binary(codes)], ["t", "key", "rep", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(tables.keys(signs).ravel()), pa.array(ids), binary(codes)], ["t", "key", "rep", "code"])
 
     return place
 
@@ -149,58 +140,18 @@ def _place(model, kind: str):
 _CELL = ("t", "key", "i", "j")
 
 
-def _whole_cells(batches):
-    """(table, begin of each row's cell, end of it) with whole cells only, out of sorted batches."""
-    import numpy as np
-    import pyarrow as pa
-
-    held = None
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            fresh = pa.Table.from_batches([batch])
-            held = fresh if held is None else pa.concat_tables([held, fresh])
-            if held.num_rows < ROWS:
-                continue
-        if held is None or not held.num_rows:
-            continue
-        held = held.combine_chunks()
-        cell = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
-        begins = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1])
-        last = 0
-        while last < len(begins):  # as many cells as fill ROWS, one at least
-            stop = max(last + 1, int(np.searchsorted(begins, begins[last] + ROWS, "right")) - 1)
-            if stop >= len(begins):
-                if batch is not None:
-                    break
-                stop = len(begins)
-            low, high = begins[last], begins[stop] if stop < len(begins) else held.num_rows
-            sizes = np.diff(np.append(begins[last:stop], high))
-            first = np.repeat(begins[last:stop] - low, sizes)
-            yield held.slice(low, high - low), first, first + np.repeat(sizes, sizes)
-            last = stop
-        held = held.slice(begins[last]) if last < len(begins) else None
-
-
 def _near_pairs(codes, block, ends, far: float):
-    """Index pairs of rows of one cell whose codes are near; in a cell of two blocks, those of different blocks.
-
-    Goes by the distance of the rows: all rows with their next, next but one, and so on."""
+    """Index pairs of rows of one cell whose codes are near; in a cell of two blocks, those of different blocks."""
     import numpy as np
 
     begins = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-    two = np.zeros(len(block), bool)  # whether the row's cell has two blocks
-    for low, high in zip(begins, ends[begins], strict=True):
-        two[low:high] = block[low] != block[high - 1]
-    a, left, right = np.arange(len(block)), [], []
-    for k in range(1, len(block)):
-        a = a[a + k < ends[a]]
-        if not len(a):
-            break
-        some = a[~two[a] | (block[a] != block[a + k])]
-        some = some[np.bitwise_count(codes[some] ^ codes[some + k]).sum(1, dtype=np.int32) <= far]
-        left.append(some)
-        right.append(some + k)
-    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    two = np.repeat(block[begins] != block[ends[begins] - 1], ends[begins] - begins)  # whether the row's cell has two blocks
+
+    def test(a, b):
+        some = np.flatnonzero(~two[a] | (block[a] != block[b]))
+        return some[np.bitwise_count(codes[a[some]] ^ codes[b[some]]).sum(1, dtype=np.int32) <= far]
+
+    return pairs_in(ends, test)
 
 
 def _sift(model):
@@ -209,9 +160,8 @@ def _sift(model):
     def sift(batches):
         import numpy as np
 
-        for table, _, ends in _whole_cells(batches):
-            codes = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            a, b = _near_pairs(codes, table.column(4).to_numpy(), ends, model.value.far)
+        for table, ends in whole_cells(batches, len(_CELL)):
+            a, b = _near_pairs(matrix(table.column(6), np.uint64), table.column(4).to_numpy(), ends, model.value.far)
             if len(a):
                 yield from table.select([0, 1, 2, 3, 4, 5]).take(np.union1d(a, b)).to_batches()
 
@@ -226,7 +176,7 @@ def _meet(model, kind: str, cosine: float):
         import pyarrow as pa
 
         tables: Tables = model.value
-        for table, _, ends in _whole_cells(batches):
+        for table, ends in whole_cells(batches, len(_CELL)):
             x, ids, n, t = _unit(table.column(6).to_pylist(), kind), table.column(5).to_numpy(), table.column(7).to_numpy(), table.column(0).to_numpy()
             signs = tables.signs(x)
             a, b = _near_pairs(tables.codes(signs), table.column(4).to_numpy(), ends, tables.far)
@@ -265,6 +215,9 @@ def _links(classes: DataFrame, count: int, kind: str, cosine: float, sample: int
     placed = classes.select("rep", "v").mapInArrow(_place(model, kind), "t int, key long, rep long, code binary")
     # Only buckets of more than a block are named: a row for at least BLOCK placed ones.
     large = placed.groupBy("t", "key").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select(F.col("t").alias("l_t"), F.col("key").alias("l_key"), F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    large = cut(large)
+    if large.count() <= NAMED:
+        large = F.broadcast(large)
     g = F.coalesce("g", F.lit(1))
     mine = F.pmod(F.xxhash64("rep"), g).cast("int")
     cells = placed.join(large, (F.col("t") == F.col("l_t")) & (F.col("key") == F.col("l_key")), "left").select("t", "key", "rep", "code", mine.alias("block"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
@@ -276,7 +229,9 @@ def _links(classes: DataFrame, count: int, kind: str, cosine: float, sample: int
 
     near = cut(together(cells).mapInArrow(_sift(model), place))
     known = near.join(classes, "rep").select("t", "key", "i", "j", "block", "rep", "v", "n")
-    return cut(together(known).mapInArrow(_meet(model, kind, cosine), "a long, b long, links long"))
+    out = cut(together(known).mapInArrow(_meet(model, kind, cosine), "a long, b long, links long"))
+    free(near)
+    return out
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, miss: float = 1e-3) -> DataFrame:

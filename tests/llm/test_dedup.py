@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from convoscore.llm import neardup
 from convoscore.llm.components import components
 from convoscore.llm.exact import exact_dedup, golomb_decode, golomb_encode
 from convoscore.llm.neardup import COORDINATES, near_dedup, shingle_set, signature, word_list
@@ -90,6 +91,21 @@ def test_near_dedup_of_a_chain_and_of_a_crowd(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 5)
 
 
+def test_near_dedup_in_many_cells(spark, monkeypatch):
+    """Blocks of three classes, and one first band, leave most of a crowd to cells of two blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "FIRST_BANDS", 1)
+    rows = []
+    for k in range(6):
+        center = prose(150, 40 + k)
+        rows += [(1000 * k + j, edited(edited(center, 6, k), 7, 100 * k + j), "en", "s", 0) for j in range(25)]
+    shared = prose(110, 50)
+    rows += [(9000 + j, shared + " " + prose(14 + j, 60 + j), "en", "s", 0) for j in range(20)]  # similar, some of them enough
+    got = near_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 5)
+    assert len({r.component_id for r in got}) > 6
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup(empty(spark)).count() == 0
     assert [tuple(r) for r in near_dedup(frame(spark, [(1, None, None, None, None)])).collect()] == [(1, 0, 1, True)]

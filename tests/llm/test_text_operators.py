@@ -564,6 +564,86 @@ def test_line_dedup_against_brute_force(spark):
 # --- licences ----------------------------------------------------------------------------------------------------
 
 
+def plain_extract(pages):
+    """Texts of whole pages without markup, by page: every page against the nearer of the pages around its run of copies,
+    aligned by a textbook table."""
+    lines = {k: [x for x in re.split(r"<[^>]*>", html or "") if x.strip()] for k, _, html in pages}
+
+    def aligned(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def copies(a, b):
+        same = sum(len(a[i]) for i, _ in aligned(a, b))
+        return any(sum(map(len, x)) - same <= 0.1 * sum(map(len, x)) for x in (a, b))
+
+    place = lambda p: (*url_key(p[1]), p[0], p[1])
+    order, out = sorted(pages, key=place), {}
+    host, path = ({p[0]: url_key(p[1])[k] for p in pages} for k in (0, 1))
+    ids = [p[0] for p in order]
+    for n, k in enumerate(ids):
+        first = last = n
+        while first and host[ids[first - 1]] == host[k] and copies(lines[ids[first - 1]], lines[ids[first]]):
+            first -= 1
+        while last + 1 < len(ids) and host[ids[last + 1]] == host[k] and copies(lines[ids[last]], lines[ids[last + 1]]):
+            last += 1
+        near = lambda m: next((i for i, (a, b) in enumerate(zip(path[m] + "\0", path[k] + "\1", strict=False)) if a != b), 0)  # noqa: E731, B023
+        around = [ids[m] for m in (first - 1, last + 1) if 0 <= m < len(ids) and host[ids[m]] == host[k]]
+        around = [m for m in around if not copies(lines[m], lines[k])]
+        gone = {j for _, j in aligned(lines[max(around, key=near)], lines[k])} if around else set()
+        if len(gone) == len(lines[k]):
+            gone = set()
+        out[k] = "\n\n".join(x for i, x in enumerate(lines[k]) if i not in gone)
+    return out
+
+
+def test_whole_pages_against_a_plain_model(spark):
+    """Sites whose markup tells nothing: differencing alone decides, on every page with a neighbour, and the number of
+    partitions doesn't show."""
+    r, pages = random.Random(11), []
+    for site in range(7):
+        top, low = ([f"{site} {part} {prose(4, 31 * site + k)}" for k in range(5)] for part in ("top", "low"))
+        for k in range([1, 2, 3, 9, 14, 25, 4][site]):
+            own = [f"{prose(12, 1000 * site + 10 * k + i)} {site}.{k}.{i}" for i in range(r.randrange(1, 6))]
+            if k and k % 5 == 0:  # a copy of the page before, under another address
+                own = last + ([f"printed {k}"] if k % 2 else [])
+            last = own
+            body = [x for x in top if r.random() > 0.1] + own + [x for x in low if r.random() > 0.1]
+            url = f"http://{r.choice(['', 'www.'])}site{site}.example/{r.choice(['news', 'news/a', 'sport'])}/{k:02d}{r.choice(['', '?x=1', '#top'])}"
+            pages.append((100 * site + k, url, "<body>" + "".join(f"<div class=c{j % 3}>{x}</div>" for j, x in enumerate(body))))
+    pages += [(9001, None, "<p>alone"), (9002, "http://empty.example/a", None), (9003, "http://empty.example/b", "")]
+    r.shuffle(pages)
+    want = plain_extract([(k, u or "", h) for k, u, h in pages])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {x.page_id: x.text for x in extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lines", F.lit(1))).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    decided = sum(want[k] != "\n\n".join(x for x in re.split(r"<[^>]*>", h or "") if x) for k, _, h in pages)
+    assert decided >= len(pages) - 4  # all but those without a neighbour
+
+
+def test_containers_beyond_any_number():
+    html = "<body>" + "<div>" * 3 + "".join("<div></div>" for _ in range(1_100_000)) + "<article><p>One</p></article><div class=x><p>Two</p></div>"
+    lines, where, parents, marked = parse(html)
+    assert lines == ["One", "Two"] and marked[where[0]] and not marked[where[1]] and len(parents) > 1_100_000
+
+
 @pytest.mark.parametrize("name", sorted(TEMPLATES))
 def test_every_template_is_found_as_itself(name):
     for form in TEMPLATES[name]:
