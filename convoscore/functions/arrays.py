@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, whatever it is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stretch(items: Column, begin: Column, stop: Column) -> Column:
+    """The elements from ``begin`` to before ``stop`` of a column or bound array; ``slice`` copies the whole array first."""
+    return F.when(begin < stop, F.transform(F.sequence(begin, stop - 1), lambda i: F.get(items, i))).otherwise(F.filter(F.array(F.get(items, F.lit(0))), lambda x: F.lit(False)))
+
+
 def scan(items: Column, carry: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column] | None = None) -> Column:
     """ARRAY<kind> of all that ``step`` emits.
 
     ``step(carry, item)`` gives (ARRAY<kind> to emit, next carry); ``last(carry)`` what to emit in the end.  Items are
     folded in blocks, so that the cost of appending stays in proportion to their number."""
     none, blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-    n = F.size(items)
-    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))))
+    parts = bound(items, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: stretch(x, k * BLOCK, F.least(F.size(x), (k + 1) * BLOCK)))))
 
     def inner(acc: Column, x: Column) -> Column:
         emitted, after = step(acc["carry"], x)

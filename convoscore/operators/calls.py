@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import scan
+from ..functions.arrays import bound, scan, stretch
 from ..functions.spans import NUMBER_CATEGORIES, detect_spans, merge_spans
 from ..functions.text import first_offset, occurrences, quote, total_occurrences
 from .checks import first_words, forbidden_hits
@@ -40,6 +40,14 @@ def gates(calls: DataFrame, recordings: DataFrame | None = None, min_probability
     return calls.withColumns({"run_status": F.when(reason.isNotNull(), "skipped").when(held.isNotNull(), "blocked").otherwise("completed"), "hold_reason": F.coalesce(reason, held)})
 
 
+def prosody_gate(gated: DataFrame, turns: DataFrame) -> DataFrame:
+    """``gated`` with calls blocked that would go on but have no turn to tell their delivery by."""
+    heard = turns.select(F.col("call_id").alias("__heard")).distinct()
+    silent = (F.col("run_status") == "completed") & F.col("__heard").isNull()
+    joined = gated.join(heard, F.col("call_id") == F.col("__heard"), "left")
+    return joined.withColumns({"run_status": F.when(silent, "blocked").otherwise(F.col("run_status")), "hold_reason": F.when(silent, "empty prosody summary").otherwise(F.col("hold_reason"))}).drop("__heard")
+
+
 def mean_probability(words: Column) -> Column:
     """Mean word probability, a missing one counting 0; 0 without words."""
     total = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.coalesce(w["probability"], F.lit(0.0)))
@@ -84,12 +92,12 @@ def time_ranges(text_spans: Column, words: Column, pad: float = 0.25) -> Column:
     placed = scan(words, F.lit(0), "struct<lo:int,hi:int,start:double,end:double,seg_start:double,seg_end:double>", step)
     # The word of every CHARS-th character, so that a span looks at the words around it only.
     over = lambda p: F.sequence(F.ceil(p["lo"] / CHARS).cast("int"), F.ceil(p["hi"] / CHARS).cast("int") - 1)
-    marks = F.flatten(F.transform(placed, lambda p, i: F.when(F.ceil(p["lo"] / CHARS) < F.ceil(p["hi"] / CHARS), F.transform(over(p), lambda _: i)).otherwise(F.array().cast("array<int>"))))
-    indexed = F.struct(placed.alias("words"), marks.alias("marks"))
+    marks = lambda words: F.flatten(F.transform(words, lambda p, i: F.when(F.ceil(p["lo"] / CHARS) < F.ceil(p["hi"] / CHARS), F.transform(over(p), lambda _: i)).otherwise(F.array().cast("array<int>"))))
+    indexed = bound(placed, lambda p: F.struct(p.alias("words"), marks(p).alias("marks")))
 
     def one(s: Column, ix: Column) -> Column:
         first, stop = F.get(ix["marks"], F.floor(s["start"] / CHARS).cast("int")), F.get(ix["marks"], F.ceil(s["end"] / CHARS).cast("int"))
-        around = F.slice(ix["words"], first + 1, F.coalesce(stop, F.size(ix["words"]) - 1) - first + 1)
+        around = stretch(ix["words"], first, F.coalesce(stop, F.size(ix["words"]) - 1) + 1)
         return F.struct(s.alias("s"), F.coalesce(F.filter(around, lambda p: (p["lo"] < s["end"]) & (p["hi"] > s["start"])), F.array()).alias("hit"))
 
     def ranged(x: Column) -> Column:
@@ -97,8 +105,7 @@ def time_ranges(text_spans: Column, words: Column, pad: float = 0.25) -> Column:
         start, end = F.when(number, first["seg_start"]).otherwise(first["start"]) - pad, F.when(number, last["seg_end"]).otherwise(last["end"]) + pad
         return F.struct(F.greatest(F.lit(0.0), start).alias("start"), F.greatest(F.lit(0.0), end).alias("end"), x["s"]["category"].alias("category"))
 
-    # an array of one, so that the index is made once
-    found = F.flatten(F.transform(F.array(indexed), lambda ix: F.transform(F.filter(F.transform(text_spans, lambda s: one(s, ix)), lambda x: F.size(x["hit"]) > 0), ranged)))
+    found = bound(indexed, lambda ix: F.transform(F.filter(F.transform(text_spans, lambda s: one(s, ix)), lambda x: F.size(x["hit"]) > 0), ranged))
     return merge_spans(found, TIME_RANGE)
 
 
@@ -182,16 +189,19 @@ def gap_checks(calls: DataFrame, contract: dict, offer_category: str = "") -> Da
 
 
 def adherence(calls: DataFrame, contract: dict) -> DataFrame:
-    """Share of mandatory elements (minimum_count > 0) with a quote, 3 decimals, 0 if there are none; optional ones apart."""
-    mandatory, optional = [], []
+    """Share of mandatory elements (minimum_count > 0) with a quote, 3 decimals, 0 if there are none; optional ones apart;
+    and whether there are quotes and the text has each of them word for word."""
+    mandatory, optional, quotes = [], [], []
     for d in contract["categories_detail"]:
-        found = quote(F.col("source_text"), [str(k) for k in d.get("keywords", [])]).isNotNull().cast("int")
-        (mandatory if int(d.get("minimum_count", 0)) > 0 else optional).append(found)
+        found = quote(F.col("source_text"), [str(k) for k in d.get("keywords", [])])
+        quotes.append(found)
+        (mandatory if int(d.get("minimum_count", 0)) > 0 else optional).append(found.isNotNull().cast("int"))
     total = lambda parts: sum(parts[1:], parts[0]) if parts else F.lit(0)
-    matched = total(mandatory)
+    matched, given = total(mandatory), F.array_compact(F.array(*quotes)) if quotes else F.array().cast("array<string>")
+    exact = (F.size(given) > 0) & F.forall(given, lambda q: F.contains(F.col("source_text"), q))
     return calls.select(
         "call_id", F.lit(len(mandatory)).cast("long").alias("mandatory_count"), matched.cast("long").alias("matched_mandatory"), F.lit(len(optional)).cast("long").alias("optional_count"), total(optional).cast("long").alias("optional_present"),
-        (F.round(matched / len(mandatory), 3) if mandatory else F.lit(0.0)).alias("adherence_score"), F.when(matched == len(mandatory), "completed").otherwise("findings").alias("status"),
+        (F.round(matched / len(mandatory), 3) if mandatory else F.lit(0.0)).alias("adherence_score"), F.when(matched == len(mandatory), "completed").otherwise("findings").alias("status"), exact.alias("exact_quotes"),
     )
 
 

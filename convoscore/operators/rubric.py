@@ -39,9 +39,12 @@ def run_rubric(calls: DataFrame, rubric: list[dict], mandated: tuple[str, ...] =
             else:
                 df = df.withColumn("__path", F.get_json_object(evidence, "$.path"))
                 env = Env(env.deal, env.consent, "__path", mandated)
+    # Every check is a column before its fields are read, so that it is made once.
+    checks = {f"__c{seq}": _gated(entry, env) for seq, entry in enumerate(rubric) if str(entry["id"]) not in resolved}
+    df = df.select(*keep, *resolved.values(), *(c.alias(name) for name, c in checks.items()))
     rows = []
     for seq, entry in enumerate(rubric):
-        found = F.col(resolved[str(entry["id"])]) if str(entry["id"]) in resolved else _gated(entry, env)
+        found = F.col(resolved.get(str(entry["id"]), f"__c{seq}"))
         paths = F.array(*(F.lit(str(p)) for p in entry.get("applies_to_paths") or [])).cast("array<string>")
         rows.append(F.struct(F.lit(seq).alias("seq"), F.lit(str(entry["id"])).alias("id"), F.lit(str(entry.get("primitive"))).alias("primitive"), F.lit(str(entry.get("tier"))).alias("tier"), paths.alias("applies_to_paths"), found["status"].alias("status"), found["evidence"].alias("evidence")))
     if not rows:

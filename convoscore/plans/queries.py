@@ -491,15 +491,12 @@ def gate_status(spark, sf_dir):
     CASE WHEN outcome = 'deal' AND NOT (trim(accept_quote) <> '' AND contains(customer_low, lower(trim(accept_quote)))) THEN 'heuristic' ELSE 'direct' END AS confidence FROM dl JOIN (SELECT call_id, run_status, hold_reason FROM ga) USING (call_id)"""
 )
 def report_disposition(spark, sf_dir):
-    return _header(spark, sf_dir)[0].select("call_id", "path", "deal", "disposition", "disposition_reason", "confidence")
+    return reports_of(spark, sf_dir).select("call_id", "path", "deal", "disposition", "disposition_reason", "confidence")
 
 
-def _header(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Header and checklist out of one frame: a call's rows are read once, its checklist travels as an array."""
+def reports_of(spark, sf_dir) -> DataFrame:
     calls = C.gates(A.with_recording(calls_of(spark, sf_dir)))
-    checklist = run_rubric(calls, PROFILE.rubric, PROFILE.mandated_regions)
-    gated = calls.select("call_id", "duration", "run_status", "hold_reason")
-    return R.report_header(gated, checklist), checklist
+    return R.call_reports(run_rubric(calls, PROFILE.rubric, PROFILE.mandated_regions, keep=("call_id", *R.STATE)), _P)
 
 
 @query(
@@ -509,14 +506,42 @@ def _header(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     SELECT call_id, CAST(unnest(range(len(ls))) AS INT) AS line_ix, unnest(ls) AS line FROM li"""
 )
 def coaching_lines(spark, sf_dir):
-    header, checklist = _header(spark, sf_dir)
-    return R.coaching(R.report_rows(checklist, _P), header, _P)
+    return reports_of(spark, sf_dir).select("call_id", F.posexplode("coaching").alias("line_ix", "line"))
+
+
+_MMSS = "CASE WHEN duration > 0 THEN CAST(CAST(floor(round_even(duration, 0) / 60) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(round_even(duration, 0) AS BIGINT) % 60 AS VARCHAR), 2, '0') ELSE '—' END"
+
+
+@query(
+    f"""WITH {ROWS}, {GATES}, bd AS (SELECT call_id, string_agg('[' || status_kind || '] ' || section || ' / ' || label, chr(10) ORDER BY section_ix, row_ix) AS body,
+      'hard ' || count(*) FILTER (tier = 'hard' AND status = 'met') || '/' || count(*) FILTER (tier = 'hard' AND status <> 'na') || ' violations ' || count(*) FILTER (tier = 'hard' AND status = 'not_met') || ' review ' || count(*) FILTER (tier = 'hard' AND status = 'indeterminate') AS counts FROM rp GROUP BY call_id)
+    SELECT dl.call_id, 'call ' || dl.call_id || ' ' || {_MMSS.replace("duration", "dl.duration")} || CASE run_status WHEN 'skipped' THEN ' skipped' WHEN 'blocked' THEN ' held' ELSE ' evaluated' END || CASE WHEN coalesce(outcome = 'deal', false) THEN ' deal' ELSE ' no deal' END || chr(10)
+      || CASE WHEN hold_reason IS NOT NULL THEN 'not evaluated: ' || hold_reason ELSE counts || chr(10) || body END AS text
+    FROM dl JOIN (SELECT call_id, run_status, hold_reason FROM ga) USING (call_id) JOIN bd USING (call_id)"""
+)
+def scorecard_lines(spark, sf_dir):
+    """Scorecards without evidence."""
+    return R.scorecard_text(reports_of(spark, sf_dir), 0)
 
 
 @query()
 def scorecard_text(spark, sf_dir):
-    header, checklist = _header(spark, sf_dir)
-    return R.scorecard_text(R.report_rows(checklist, _P), header, R.report_summary(checklist, _P))
+    """Scorecards with evidence (tests hold them against the report's rows)."""
+    return R.scorecard_text(reports_of(spark, sf_dir))
+
+
+@query(
+    """SELECT 'quality' AS workflow, 'completed' AS run_status, p AS phase_id, 'completed' AS status, o AS output, CAST(1 AS INT) AS attempts FROM (VALUES {rows}) v(p, o)""".replace(
+        "{rows}", ", ".join(f"({q(p)}, {q(o)})" for p, o in (("ingest", "gated"), ("redact", "redaction_map"), ("transcribe", "words"), ("prosody", "gated,turns"), ("classify", "roles"), ("evaluate", "checklist,report_header,report_rows,report_summary,rollup")))
+    )
+)
+def workflow_run(spark, sf_dir):
+    """The shipped workflow of all phases, in the order of their dependencies."""
+    from .workflow import execute, load_workflow
+
+    calls = A.with_verdicts(A.calls(spark, sf_dir))
+    context = {"calls": calls, "prepared": A.prepared(calls), "recordings": A.recordings(calls), "profile": PROFILE, "language": LANG}
+    return execute(spark, load_workflow("quality"), context).table(spark).drop("error")
 
 
 # --- roles, prosody, secondary checks ----------------------------------------------------------------------------
@@ -609,7 +634,7 @@ def gap_persistence(spark, sf_dir):
 _said = [f"({' OR '.join(f'contains(low, {q(k)})' for k in d['keywords'])})::INT" for d in _K["categories_detail"]]
 
 
-@query(f"WITH {CALLS}, a AS (SELECT call_id, {_said[0]} + {_said[1]} + {_said[2]} AS m, {_said[3]} AS o FROM calls) SELECT call_id, 3::BIGINT AS mandatory_count, m::BIGINT AS matched_mandatory, 1::BIGINT AS optional_count, o::BIGINT AS optional_present, round(m / 3, 3) AS adherence_score, CASE WHEN m = 3 THEN 'completed' ELSE 'findings' END AS status FROM a")
+@query(f"WITH {CALLS}, a AS (SELECT call_id, {_said[0]} + {_said[1]} + {_said[2]} AS m, {_said[3]} AS o FROM calls) SELECT call_id, 3::BIGINT AS mandatory_count, m::BIGINT AS matched_mandatory, 1::BIGINT AS optional_count, o::BIGINT AS optional_present, round(m / 3, 3) AS adherence_score, CASE WHEN m = 3 THEN 'completed' ELSE 'findings' END AS status, m + o > 0 AS exact_quotes FROM a")
 def adherence_score(spark, sf_dir):
     return C.adherence(calls_of(spark, sf_dir), PROFILE.contract)
 

@@ -175,7 +175,8 @@ def _transcribe(spark, context, settings):
 
 @phase("prosody")
 def _prosody(spark, context, settings):
-    return {"turns": C.turn_prosody(context["words"], context.get("redaction_map"), context.get("frames"))}
+    turns = C.turn_prosody(context["words"], context.get("redaction_map"), context.get("frames"))
+    return {"turns": turns, "gated": C.prosody_gate(context["gated"], turns)}
 
 
 @phase("call_path_classify")

@@ -28,13 +28,40 @@ def retire_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("runs"))
 
 
+def seed(files: DataFrame, landing_path: str) -> DataFrame:
+    """Adds the contents that are not there yet to the landing table (sha256, path, content) and returns what is there.
+    Idempotent: contents are told by their checksum, and the committer makes a write visible as a whole."""
+    spark = files.sparkSession
+    landed = _landed(spark, landing_path)
+    fresh = files.select("path", "content", F.sha2("content", 256).alias("sha256")).join(landed.select("sha256"), "sha256", "left_anti")
+    fresh.groupBy("sha256").agg(F.min("path").alias("path"), F.min("content").alias("content")).write.mode("append").parquet(landing_path)
+    return _landed(spark, landing_path)
+
+
+def _landed(spark: SparkSession, landing_path: str) -> DataFrame:
+    schema, at = "sha256 string, path string, content binary", spark._jvm.org.apache.hadoop.fs.Path(landing_path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(landing_path) if there else spark.createDataFrame([], schema)
+
+
+def verify(files: DataFrame, landed: DataFrame) -> DataFrame:
+    """(path, outcome) of landed files: ok, mismatch (its content or its source's is not what the checksum says), or no
+    source."""
+    sources = files.select(F.col("path").alias("s_path"), F.sha2("content", 256).alias("s_sha256"))
+    sound = (F.sha2("content", 256) == F.col("sha256")) & (F.col("s_sha256") == F.col("sha256"))
+    return landed.join(sources, F.col("path") == F.col("s_path"), "left").select("path", F.when(F.col("s_sha256").isNull(), "no source").when(sound, "ok").otherwise("mismatch").alias("outcome"))
+
+
 def save_runs(runs: DataFrame, path: str) -> None:
-    """Run state, a folder a day; the output committer makes a write visible as a whole."""
-    runs.write.mode("append").partitionBy("run_date").parquet(path)
+    """Run state, a folder a day.  Saving a run again updates it: states are versions, and the last one counts.  The output
+    committer makes a write visible as a whole."""
+    runs.withColumn("updated_at", F.current_timestamp()).write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The last saved state of every run."""
+    every = spark.read.parquet(path)
+    return every.groupBy("run_id").agg(F.max_by(F.struct(*(c for c in every.columns if c != "run_id")), "updated_at").alias("r")).select("run_id", "r.*")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
