@@ -254,13 +254,35 @@ def number_word_density(spark, sf_dir):
     return words.groupBy("call_id", "channel").agg(F.count("*").alias("words"), F.count_if(num).alias("number_words"))
 
 
-@query()
+def _spans_of_channels() -> str:
+    """sp(doc_id, start, stop, category) of the texts in ch(doc_id, text); odd ids are the customer's channel."""
+    iban = matches_sql(rf"(?i)\b{LANG['iban_prefix']}[0-9]{{2}}[A-Z0-9]{{18}}\b")
+    parts = [
+        f"WITH {NUMBERS} SELECT doc_id, start, stop, category FROM n",
+        f"WITH {EMAILS} SELECT doc_id, start, CAST(start + length(word) AS INT) AS stop, 'EMAIL' AS category FROM m",
+        f"WITH {RUNS} SELECT doc_id, start, stop, category FROM w",
+        f"WITH {iban} SELECT doc_id, start, CAST(start + length(word) AS INT) AS stop, 'IBAN' AS category FROM m",
+        f"SELECT * FROM ({_context_sql()}) x WHERE doc_id % 2 = 1",
+    ]
+    return "sp AS (" + " UNION ALL ".join(f"SELECT doc_id, start, stop, category FROM ({x.replace('FROM documents', 'FROM ch')}) s{k}" for k, x in enumerate(parts)) + ")"
+
+
+@query(
+    f"""WITH {CALLS}, wp AS (SELECT call_id * 2 + (channel = 'right')::INT AS doc_id, word_ix, word, start, "end" AS stop, seg_start, seg_end, sum(length(word) + 1) OVER (PARTITION BY call_id, channel ORDER BY word_ix) AS hi FROM words),
+    ch AS (SELECT doc_id, string_agg(' ' || word, '' ORDER BY word_ix) AS text FROM wp GROUP BY doc_id), {_spans_of_channels()},
+    hit AS (SELECT sp.doc_id, sp.start AS a, sp.stop AS b, category, category IN ('EGN', 'CARD', 'PHONE_OR_ID', 'NUMERIC_RUN', 'IBAN') AS num, wp.* EXCLUDE (doc_id) FROM sp JOIN wp ON wp.doc_id = sp.doc_id AND hi - length(word) - 1 < sp.stop AND hi > sp.start),
+    rg AS (SELECT doc_id, category, greatest(0, min_by(CASE WHEN num THEN seg_start ELSE start END, word_ix) - 0.25::DOUBLE) AS start, greatest(0, max_by(CASE WHEN num THEN seg_end ELSE stop END, word_ix) + 0.25::DOUBLE) AS stop FROM hit GROUP BY doc_id, a, b, category),
+    o AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rg),
+    l AS (SELECT *, sum(CAST(before IS NULL OR start > before AS INT)) OVER (PARTITION BY doc_id ORDER BY start, stop, category ROWS UNBOUNDED PRECEDING) AS island FROM o),
+    g AS (SELECT doc_id, island, min(start) AS start, max(stop) AS stop, CASE WHEN count(DISTINCT category) > 1 THEN 'MULTI' ELSE min(category) END AS category FROM l GROUP BY doc_id, island)
+    SELECT doc_id // 2 AS call_id, CASE WHEN doc_id % 2 = 1 THEN 'right' ELSE 'left' END AS channel, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS map_ix, round(start, 6) AS start, round(stop, 6) AS "end", category FROM g"""
+)
 def redaction_ranges(spark, sf_dir):
-    """Spans of both channels as padded, merged time ranges (checked against a plain model in the tests)."""
-    spaced = lambda w: F.struct(F.concat(F.lit(" "), w["word"]).alias("word"), w["start"].alias("start"), w["end"].alias("end"), w["seg_start"].alias("seg_start"), w["seg_end"].alias("seg_end"))
+    """Spans of both channels as padded, merged time ranges."""
+    spaced = lambda w: w.withField("word", F.concat(F.lit(" "), w["word"]))
     channel = lambda c: F.struct(F.lit(c).alias("channel"), F.transform(F.filter("words", lambda w: w["channel"] == c), spaced).alias("words"))
     rows = A.calls(spark, sf_dir).select("call_id", F.inline(F.array(channel("left"), channel("right"))))
-    return C.redact_calls(rows, LANG)
+    return C.redact_calls(rows, LANG).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
 # --- checks ------------------------------------------------------------------------------------------------------
