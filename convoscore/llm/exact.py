@@ -201,6 +201,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = sifted.filter("is_text").groupBy("sha", "body").agg(F.sum("n").alias("group_size"), first.alias("best"))
     groups = verified.groupBy("sha").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"), F.min("best").alias("best"))
     groups = groups.select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.assert_true(F.col("texts") == 1, "two texts have one SHA-256").alias("sure"))
+    # Written, so that the join reads two plain exchanges and Spark can split the one text that a third of the rows share.
+    groups = cut(groups)
     return (
         sifted.filter("NOT is_text")
         .select("doc_id", "sha")

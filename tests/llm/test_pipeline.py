@@ -74,3 +74,38 @@ def test_stages_tell_rows_apart_without_ids(spark):
     rows = [(None if k % 2 else 5, prose(50, k), "en", "s", 0) for k in range(60)]
     took = [r.text for r in corpus_pipeline.mixing(spark, frame(spark, rows, clash=False), SF).collect()]
     assert len(took) == 90 and len({*took}) < 60 + 1 and max(took.count(t) for t in took) == 2 and min(took.count(t) for t in took) == 1
+
+
+def test_run_against_plain_stages(spark, tmp_path):
+    """The whole pipeline on a small table: what every stage keeps by brute force, copies by the mix's targets, and the
+    library's own ids."""
+    import sentencepiece
+
+    from convoscore.llm.spm import PUBLIC_MODEL
+
+    from .test_text_operators import plain_targets
+
+    source = [tuple(r) for r in table(spark, SF, "documents").collect()]
+    rows = source + [(100_000 + k, r[1] + " ", *r[2:]) for k, r in enumerate(source[:30])] + [(200_000 + k, prose(90, k), "en", None, 1) for k in range(12)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SF, "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    scores = quality_scores(docs, fit_quality(docs, table(spark, str(tmp_path), "labels")), score_col="own").collect()
+    left = [tuple(r)[:5] for r in scores if r.own >= corpus_pipeline.LEAST_SCORE]
+    keep = {r[1] for r in brute_exact(left)}
+    left = [r for r in left if r[0] in keep]
+    keep = {r[2] for r in brute_near(left, 5)}
+    left = {r[0]: r for r in left if r[0] in keep}
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for i, r in left.items()}
+    sizes: dict = {}
+    for i, r in left.items():
+        sizes[r[3]] = sizes.get(r[3], 0) + words[i]
+    want, took, copies = plain_targets(sizes, [3, 1, 2], 1.5, 2), {}, {}
+    theirs = sentencepiece.SentencePieceProcessor(model_file=PUBLIC_MODEL)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        assert r.doc_id in left and r.ids == theirs.encode(left[r.doc_id][1] or "") and r.n_tokens == len(r.ids) and r.round_trip
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        took[r.source] = took.get(r.source, 0) + words[r.doc_id]
+    assert max(copies.values()) == 2 and len(left) < len(rows) - 30
+    for s, target in want.items():
+        assert abs(took.get(s, 0) - target) <= max(0.02 * target, max(words[i] for i, r in left.items() if r[3] == s))

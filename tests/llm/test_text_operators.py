@@ -50,6 +50,35 @@ def test_forest_learns_and_walks_like_a_plain_tree():
     assert np.allclose(f.score(x[:50]), [walk(row) for row in x[:50]])
 
 
+def test_split_search_against_brute_force():
+    """Stumps and trees of depth 2: at every node the gain of the chosen split is the best of all edges of all features."""
+    r = np.random.default_rng(12)
+    for trial in range(6):
+        x = np.round(r.standard_normal((300, 4)), 1)
+        y = (r.random(300) < 1 / (1 + np.exp(-2 * x[:, trial % 4] * (x[:, 0] > 0)))).astype(float)
+        f = fit_forest(x, y, trees=1, depth=2, bins=16, least=10, l2=1.0)
+        p = (y.sum() + 0.5) / 301
+        g, h = p - y, np.full(300, p * (1 - p))
+        part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)  # noqa: E731, B023
+
+        def gain(rows, feature, threshold):
+            left, right = rows & ~(x[:, feature] > threshold), rows & (x[:, feature] > threshold)  # noqa: B023
+            return part(left) + part(right) - part(rows) if min(left.sum(), right.sum()) >= 10 else 0.0  # noqa: B023
+
+        def best(rows):
+            edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 17)[1:-1])) for k in range(4)]  # noqa: B023
+            return max([0.0, *(gain(rows, k, e) for k in range(4) for e in edges[k])])
+
+        every = np.ones(300, bool)
+        goes_right = x[:, f.feature[0, 0]] > f.threshold[0, 0]
+        for node, rows in ((0, every), (1, ~goes_right), (2, goes_right)):
+            assert gain(rows, f.feature[0, node], f.threshold[0, node]) == pytest.approx(best(rows), abs=1e-8)
+        leaves = goes_right * 2 + (x[np.arange(300), f.feature[0, 1 + goes_right]] > f.threshold[0, 1 + goes_right])
+        for leaf in set(leaves):
+            rows = leaves == leaf
+            assert f.leaf[0, leaf] == pytest.approx(-0.15 * g[rows].sum() / (h[rows].sum() + 1.0))
+
+
 @pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])
 def test_forest_without_both_classes(y):
     f = fit_forest(np.zeros((len(y), 3)), np.array(y))
@@ -638,6 +667,15 @@ def test_whole_pages_against_a_plain_model(spark):
     assert decided >= len(pages) - 4  # all but those without a neighbour
 
 
+def test_pages_that_repeat_and_clash(spark):
+    html = "<body><div>Same on top</div><div>{} of its own</div></body>"
+    rows = [(k, f"http://a.example/{k}", html.format(f"line {k}")) for k in range(5)] + [(2, "http://a.example/2", html.format("line 2"))] * 2 + [(None, "http://a.example/9", html.format("line 9")), (7, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({k: F.lit("x") for k in ("part", "host", "path", "lines", "box", "text", "n_chars", "seq")})
+    got = sorted((r.page_id is None, r.page_id or 0, r.text, r.n_chars) for r in extract(df).collect())
+    text = lambda k: f"line {k} of its own"
+    assert got == sorted([(False, k, text(k), len(text(k))) for k in (0, 1, 2, 2, 2, 3, 4)] + [(True, 0, text(9), len(text(9))), (False, 7, "", 0)])
+
+
 def test_containers_beyond_any_number():
     html = "<body>" + "<div>" * 3 + "".join("<div></div>" for _ in range(1_100_000)) + "<article><p>One</p></article><div class=x><p>Two</p></div>"
     lines, where, parents, marked = parse(html)
