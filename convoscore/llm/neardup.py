@@ -29,6 +29,8 @@ FIRST_BANDS = 4
 #: Members of a bucket side that meet in one block of the last comparison, and shingles of all of them.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
+#: So many named buckets at most are sent to every executor (8 bytes each); more are joined by a shuffle.
+NAMED = 100_000
 
 
 def word_list(raw: bytes) -> list[bytes]:
@@ -267,17 +269,26 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         ends = some.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left")
         return cut(ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
 
-    def buckets_of(labels: DataFrame, bands: F.Column) -> DataFrame:
-        named = classes.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").select("rep", "n_shingles", "bands", F.coalesce("l", "rep").alias("label"))
-        return named.select("rep", "label", "n_shingles", F.posexplode(bands).alias("at", "key"))
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.toDF("l_rep", "l"), F.col("rep") == F.col("l_rep"), "left").withColumn("label", F.coalesce("l", "rep")).drop("l_rep", "l")
 
-    def split_of(buckets: DataFrame) -> DataFrame:
-        """Buckets with several components: the largest one, its smallest class, and the blocks of it and of the others."""
+    def several(members: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components.  One small aggregate a bucket is shuffled, and then the rows of
+        those buckets alone."""
+        apart = cut(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
+        named = F.broadcast(apart) if apart.count() <= NAMED else apart
+        rows = cut(members.join(named, "key", "left_semi"))
+        free(apart)
+        return rows
+
+    def around_largest(rows: DataFrame) -> DataFrame:
+        """``rows`` with the largest component of their bucket, its smallest class, and the blocks of it and of the others."""
         blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
-        sizes = buckets.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("rep").alias("first"))
+        sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass"), F.min("rep").alias("first"))
         top = F.max_by(F.struct("label", "size", "mass", "first"), F.struct("size", "label"))
         split = sizes.groupBy("key").agg(top.alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all"), F.sum("mass").alias("whole")).filter("labels > 1")
-        return split.select(F.col("key").alias("s_key"), F.col("top.label").alias("main"), F.col("top.first").alias("hub"), blocks(F.col("top.size"), F.col("top.mass")).alias("g0"), blocks(F.col("all") - F.col("top.size"), F.col("whole") - F.col("top.mass")).alias("g1"))
+        split = split.select(F.col("key").alias("s_key"), F.col("top.label").alias("main"), F.col("top.first").alias("hub"), blocks(F.col("top.size"), F.col("top.mass")).alias("g0"), blocks(F.col("all") - F.col("top.size"), F.col("whole") - F.col("top.mass")).alias("g1"))
+        return rows.join(split, F.col("key") == F.col("s_key"))
 
     # Stars in the first bands: each class with the likeliest of its centres, then the centres that this leaves apart.
     few = classes.select("rep", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
@@ -290,18 +301,17 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     free(pairs, likely)
 
     # Stars in all bands, in buckets that hold several components: the others' classes with the largest one's first.
-    every = buckets_of(labels, F.col("bands"))
-    centre = split_of(every)
-    pairs = alike(every.join(centre, (F.col("key") == F.col("s_key")) & (F.col("label") != F.col("main"))).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
+    every = labelled(classes.select("rep", "n_shingles", "bands"), labels).select("rep", "label", "n_shingles", F.posexplode("bands").alias("at", "key"))
+    open_ = several(every)
+    pairs = alike(around_largest(open_).filter("label != main").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
     if not pairs.isEmpty():
         likely = sets_for(pairs)
         labels = merge_labels(labels, confirm(pairs, likely))
         free(likely)
     free(pairs)
 
-    # What is left: buckets that still hold several components.
-    members = buckets_of(labels, F.col("bands"))
-    rows = members.join(split_of(members), F.col("key") == F.col("s_key")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    # What is left: those of the same buckets that still hold several components.
+    rows = around_largest(labelled(open_.drop("label"), labels)).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
     rows = rows.select("key", "at", "side", "rep", "label", F.explode(_cells_of(F.col("side"))).alias("c"))
     rows = rows.select("key", "c.i", "c.j", "at", "side", "c.block", "rep", "label")
     details = classes.select("rep", "n_shingles", "sig", "bands")
@@ -315,8 +325,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         whole = near.join(details, "rep").join(sets, "rep").select(*near.columns, "n_shingles", "sig", "bands", "set")
         links = cut(together(whole).mapInArrow(_meet(percent, limit), "a long, b long"))
         labels = merge_labels(labels, links)
-        free(links)
-    free(near)
+        free(links, sets)
+    free(near, open_)
 
     named = classes.select("cls", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component"))
     out = slim.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
