@@ -190,7 +190,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical without ASCII white space; null counts as empty, and empty texts equal each other.
     Of equal texts the one with the most code points stays, then the smallest id; a null id comes last.  Rows that
-    share an id share their fate.  Other columns are ignored; an empty table gives an empty result.
+    share an id share their fate; rows that repeat count each.  Very long texts are hashed and compared whole.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -41,7 +41,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", tex
     """One row per input row: doc_id, n_lines (lines that are not blank), n_removed, text without the removed lines.
 
     Lines end at line feeds and are compared without ASCII white space at their ends; blank lines stay.  A null text
-    counts as empty, a null site is a site of its own; rows that repeat an id are cleaned each by its own text.
+    counts as empty, a null site is a site of its own; ids may be null, and rows that repeat an id are cleaned each by its
+    own text.  Very long texts are cleaned whole.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(site_col).cast("string").alias("site"))
     spread = spread_lines(docs, min_sites, "text", "site")

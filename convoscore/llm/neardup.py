@@ -225,7 +225,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Two rows are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``percent`` hundredths or
     more.  With fewer words the whole sequence is the only shingle; null, empty and blank texts have no shingle and no
     link.  Ids should differ; rows that repeat an id and its text share their fate, a row with a null id is in the class
-    of its text but names no component.  An empty table gives an empty result; other columns are ignored.
+    of its text but names no component.  Very long texts count whole.  An empty table gives an empty result; other columns
+    are ignored.
     """
     # 5.5 standard deviations below the agreement expected at the limit.
     share = percent / 100

@@ -152,7 +152,7 @@ def quality_scores(docs: DataFrame, forest: Forest, text_col: str = "text", scor
     """``docs`` with one more column, the score of the whole text (null and empty texts get one too).
 
     With ``least``, only rows that reach it.  Columns that are already there keep their names and values, but one named
-    like ``score_col`` gives way to it.  Rows that repeat are scored each; an empty table gives an empty result.
+    like ``score_col`` gives way to it.  Very long texts are measured whole.  Rows that repeat are scored each; an empty table gives an empty result.
     """
     from pyspark.sql import types as T
 
