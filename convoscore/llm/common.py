@@ -113,9 +113,9 @@ MOST_BITS = 29
 
 
 def bits_for(count: int, most: int = MOST_BITS) -> int:
-    """The size of a bitmap for so many marks, as a power of 2: 16 bits a mark, 2 ** ``most`` in all at most.  A bitmap
+    """The size of a bitmap for so many marks, as a power of 2: 64 bits a mark, 2 ** ``most`` in all at most.  A bitmap
     that is too small for its marks lets more rows through, it never holds one back."""
-    return max(12, min(most, (16 * count).bit_length()))
+    return max(12, min(most, (64 * count).bit_length()))
 
 
 def pieces(batches, rows: int = 1024):
@@ -164,7 +164,7 @@ def id_bitmap(ids: DataFrame, most: int = MOST_BITS) -> bytes:
 
     slots = ids.select(slot.alias("slot")).distinct().withColumn("owner", F.shiftright("slot", bits - owner_bits).cast("int"))
     whole = bytearray((1 << bits) // 8)
-    for row in slots.groupBy("owner").applyInPandas(own, "owner int, bitmap binary").toLocalIterator():
+    for row in slots.groupBy("owner").applyInPandas(own, "owner int, bitmap binary").collect():  # bounded by the bitmap
         whole[row.owner * width // 8 : (row.owner + 1) * width // 8] = zlib.decompress(row.bitmap)
     free(ids)
     return bytes(whole)

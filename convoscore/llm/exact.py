@@ -2,7 +2,7 @@
 
 1. Each partition fingerprints its texts (64 bits of SHA-256 of the text without ASCII white space), sorts the
    distinct fingerprints of each owner's range and sends them Golomb-Rice coded, with one bit for each that it holds twice.
-2. Owners decode, find fingerprints held twice in all, and return a duplicate bitmap over their range: 16 bits for each
+2. Owners decode, find fingerprints held twice in all, and return a duplicate bitmap over their range: 64 bits for each
    such fingerprint, 64 MB for all owners at most.  That is the bound of what is broadcast; a bitmap that has to do with
    less costs selectivity, never results.
 3. Partitions test their fingerprints; only suspects' texts are shuffled, one copy a partition and text, and grouped
@@ -133,7 +133,7 @@ def duplicate_bitmap(docs: DataFrame, text: str, most_bits: int = MOST_BITS) ->
     bitmap_bits = max(owner_bits + 6, bits_for(doubled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], most_bits))
     width = (1 << (bitmap_bits - owner_bits)) // 8
     whole = bytearray((1 << bitmap_bits) // 8)
-    for row in doubled.mapInArrow(_mark(owner_bits, bitmap_bits), "owner int, bitmap binary").toLocalIterator():
+    for row in doubled.mapInArrow(_mark(owner_bits, bitmap_bits), "owner int, bitmap binary").collect():  # bounded by the bitmap
         whole[row.owner * width : (row.owner + 1) * width] = zlib.decompress(row.bitmap)
     free(doubled)
     return bytes(whole)

@@ -240,7 +240,7 @@ def _parse_pages(bounds: list[tuple]):
 def _bounds(pages: DataFrame, parts: int) -> list[tuple]:
     """Places that cut the pages into ``parts`` ranges of about the same size, from a sample of their urls."""
     every = max(1, pages.count() // (SAMPLE * parts))
-    sample = sorted(_place(*row) for row in pages.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("page_id", "url").toLocalIterator())
+    sample = sorted(_place(*row) for row in pages.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("page_id", "url").distinct().collect())
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 

@@ -38,6 +38,7 @@ TOKEN_HEAD = r"(?:AKIA|ASIA|AIza|eyJ|sk-(?:[a-z]+-)?|gh[pousr]_|github_pat_|glpa
 TOKEN = rf"(?<![0-9A-Za-z_-]){TOKEN_HEAD}[0-9A-Za-z_-]{{16,}}+(?:\.[0-9A-Za-z_-]++)*+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, TOKEN, IBAN, IPV6, IPV4, YMD_DATE, DMY_DATE, SSN, PHONE, CARD, SECRET))
+MARK = "\x01"
 #: What a text must hold to be searched at all.
 HINT = rf"[0-9@]|{TOKEN_HEAD}"
 #: Country codes of telephone numbers of one and two digits; all others have three.
@@ -268,22 +269,24 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows that repeat are rewritten each; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    named = found.withColumn("named", F.transform("found", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p"))))
-    # Java's split with a negative limit keeps every part, so parts and values alternate.
-    parts = F.split("text", ANY, -1)
-    filled = F.array_join(F.zip_with(parts, "named", lambda part, v: F.concat(part, F.coalesce(v["p"]["new"], v["old"], F.lit("")))), "")
-    some = F.size("named") > 0
+    # What lies between values and the values in turn: one search puts marks around them, and the text is parted there; a
+    # text that holds the mark itself is searched once for the one and once for the other.
+    marked = F.split(F.regexp_replace("text", ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    apart = F.zip_with(F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda part, value: F.array(part, F.coalesce(value, F.lit(""))))
+    pieces = F.when(~F.col("text").rlike(HINT), F.array("text")).when(F.contains("text", F.lit(MARK)), F.flatten(apart)).otherwise(marked)
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("pieces", pieces)
+    named = found.select("doc_id", F.transform("pieces", lambda v, i: F.struct(v.alias("old"), F.when(i % 2 == 1, pseudonym(v, key)).alias("p"))).alias("named"))
+    filled = F.array_join(F.transform("named", lambda v: F.coalesce(v["p"]["new"], v["old"])), "")
 
     def count(test: Callable) -> Column:
-        return F.when(some, F.size(F.filter("named", test))).otherwise(0).cast("long")
+        return F.size(F.filter("named", test)).cast("long")
 
     def of_kind(kind: str) -> Callable:
         return lambda v: (v["p"]["kind"] == kind) & v["p"]["new"].isNotNull()
 
     return named.select(
         "doc_id",
-        F.when(some, filled).otherwise(F.col("text")).alias("text"),
+        filled.alias("text"),
         count(lambda v: v["p"]["new"].isNotNull()).alias("n_replaced"),
         *(count(of_kind(k)).alias(f"n_{k}") for k in KINDS),
     )

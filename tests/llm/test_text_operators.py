@@ -519,7 +519,8 @@ def test_pseudonyms_against_plain_python(spark):
     docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     r = random.Random(2)
     mutated = ["".join(c if r.random() > 0.04 else r.choice("0123456789 .-:/ab") for c in t) for t in ODD_VALUES * 20]
-    texts = docs + ODD_VALUES + mutated + [None, "", docs[0]]
+    marked = [t.replace(" ", pii.MARK, 2) for t in ODD_VALUES] + [pii.MARK, f"{pii.MARK}10.0.0.1{pii.MARK}"]
+    texts = docs + ODD_VALUES + mutated + marked + [None, "", docs[0]]
     got = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit(1)), "k").orderBy("doc_id").collect()
     plain = PlainPseudonyms("k")
     for t, g in zip(texts, got, strict=True):
