@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from itertools import chain
 
+from .common import give_back
+
 #: Rows that are compared at a time, and whole cells beyond that.
 ROWS = 4096
 
@@ -40,6 +42,7 @@ def whole_cells(batches, width: int):
             yield held.slice(low, high - low), np.repeat(np.cumsum(sizes), sizes)
             last = stop
         held = held.slice(begins[last]) if last < len(begins) else None
+    give_back()
 
 
 def pairs_in(ends, test):

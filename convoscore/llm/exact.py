@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, MOST_BITS, bits_for, cut, free, n_shuffle, pieces, utf8
 
 #: Suspects' distinct texts that a task keeps before it passes them on.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 16 << 20
 
 
 def golomb_encode(values, universe_bits: int) -> tuple[bytes, int, int]:
