@@ -248,7 +248,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     def sets_for(some: DataFrame) -> DataFrame:
         """The full sets of the ids in question only, made of their texts again."""
         ids = some.select(F.explode(F.array("a", "b")).alias("id"))
-        found = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids)).join(ids.distinct().toDF("doc_id"), "doc_id", "left_semi")
+        found = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids))
+        found = found.join(ids.distinct().toDF("doc_id").hint("merge"), "doc_id", "left_semi")
 
         def sets_of(batches):
             import pyarrow as pa
@@ -256,7 +257,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
             for batch in pieces(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(word_list(raw), width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], ["id", "set"])
 
-        # after the join's shuffle: one Python worker a task, not two
+        # behind the join's shuffle: one Python worker a task, not two
         return cut(found.select("doc_id", "text").mapInArrow(sets_of, "id long, set binary"))
 
     def confirm(some: DataFrame, sets: DataFrame) -> DataFrame:
