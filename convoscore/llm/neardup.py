@@ -245,11 +245,15 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         pairs = pairs.distinct().join(sigs.toDF("b", "sb", "nb"), "b").join(sigs.toDF("a", "sa", "na"), "a").filter(fit).select("a", "b", "sa", "sb")
         return cut(pairs.mapInArrow(_alike(limit), "a long, b long, same int"))
 
-    def sets_for(some: DataFrame) -> DataFrame:
-        """The full sets of the ids in question only, made of their texts again."""
-        ids = some.select(F.explode(F.array("a", "b")).alias("id"))
+    def ends(pairs: DataFrame) -> DataFrame:
+        """Every id of the pairs, once."""
+        return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+    def sets_for(ids: DataFrame) -> DataFrame:
+        """The full sets of the ids in question only, made of their texts again.  Each id should come once."""
+        ids = cut(ids)
         found = sift_by_bitmap(texts.filter("doc_id IS NOT NULL"), "doc_id", id_bitmap(ids))
-        found = found.join(ids.distinct().toDF("doc_id").hint("merge"), "doc_id", "left_semi")
+        found = found.join(ids.toDF("doc_id").hint("merge"), "doc_id", "left_semi")
 
         def sets_of(batches):
             import pyarrow as pa
@@ -258,7 +262,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(word_list(raw), width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], ["id", "set"])
 
         # behind the join's shuffle: one Python worker a task, not two
-        return cut(found.select("doc_id", "text").mapInArrow(sets_of, "id long, set binary"))
+        out = cut(found.select("doc_id", "text").mapInArrow(sets_of, "id long, set binary"))
+        free(ids)
+        return out
 
     def confirm(some: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are links, by their full sets."""
@@ -297,7 +303,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     hubs = few.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select(F.col("key").alias("h_key"), "hub")
     pairs = alike(few.join(hubs, (F.col("key") == F.col("h_key")) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
-    likely = sets_for(pairs)
+    likely = sets_for(ends(pairs))
     labels = cut(components(confirm(best, likely)))
     labels = merge_labels(labels, confirm(apart(pairs, labels), likely))
     free(pairs, likely)
@@ -307,7 +313,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     open_ = several(every)
     pairs = alike(around_largest(open_).filter("label != main").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
     if not pairs.isEmpty():
-        likely = sets_for(pairs)
+        likely = sets_for(ends(pairs))
         labels = merge_labels(labels, confirm(pairs, likely))
         free(likely)
     free(pairs)
@@ -323,7 +329,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     near = cut(together(rows.join(details, "rep").select(*(f.split()[0] for f in _MEMBER.split(", ")), "n_shingles", "sig", "bands")).mapInArrow(_sift(percent, limit), _MEMBER))
     if not near.isEmpty():
-        sets = sets_for(near.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).toDF("rep", "set")
+        sets = sets_for(near.select("rep").distinct()).toDF("rep", "set")
         whole = near.join(details, "rep").join(sets, "rep").select(*near.columns, "n_shingles", "sig", "bands", "set")
         links = cut(together(whole).mapInArrow(_meet(percent, limit), "a long, b long"))
         labels = merge_labels(labels, links)

@@ -106,6 +106,19 @@ def test_near_dedup_in_many_cells(spark, monkeypatch):
     assert len({r.component_id for r in got}) > 6
 
 
+def test_near_dedup_names_each_set_once(spark, monkeypatch):
+    """However many pairs and cells a class is in, its set is asked for once a round, and the rounds have no row a pair."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "FIRST_BANDS", 1)
+    named, real = [], neardup.id_bitmap
+    monkeypatch.setattr(neardup, "id_bitmap", lambda ids: named.append([r[0] for r in ids.collect()]) or real(ids))
+    shared = prose(110, 50)
+    rows = [(j, shared + " " + prose(14 + j, 60 + j), "en", "s", 0) for j in range(20)]
+    got = near_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 5)
+    assert len(named) == 3 and all(len(ids) == len(set(ids)) <= len(rows) for ids in named)
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup(empty(spark)).count() == 0
     assert [tuple(r) for r in near_dedup(frame(spark, [(1, None, None, None, None)])).collect()] == [(1, 0, 1, True)]
